@@ -18,7 +18,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digest is taken, equal means equal bytes. Each text is read as its length followed by its bytes, so the end of a text is a digit
     like any other. A round takes one digit: the length and 32 bytes, then 256 bytes, 2,048 and so on (1 MiB at most). A round counts
     (group, digit) with partial aggregation and joins the groups of two or more back; what stands alone leaves with its remaining text
-    dropped, so later rounds carry only texts that have a partner so far. Group numbers come from a table in the shared folder.
+    dropped, so later rounds carry only texts that have a partner so far. Group numbers come from a table in the shared folder. The join
+    shuffles at every size rather than being broadcast where the groups are few.
 
     Null texts form one group, apart from the empty text. Null ids count as rows but are kept only where a group has no other. Equal
     rows are copies of each other. An empty table gives no rows. Other columns aren't read.
@@ -34,7 +35,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         split = rows.withColumn(digit, cut)
         groups = split.groupBy(*keys).agg(F.count("*").alias(n), F.min("doc_id").alias(least)).filter(F.col(n) > 1)
         groups = materialize(groups.withColumn(new, F.monotonically_increasing_id()), "groups")
-        now = split.join(groups, keys, "left")
+        now = split.join(groups.hint("shuffle_hash"), keys, "left")
         now = now.select(
             "doc_id", size, F.col(new).alias(gid), F.col(least), F.col(n),
             F.when(F.col(new).isNotNull() & (F.col(size) > covered), F.expr(f"substring({rest}, {width + 1})")).alias(rest),
