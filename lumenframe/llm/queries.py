@@ -4,20 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact
+from . import exact, lines, mixing, packing, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(_docs(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_docs(spark, sf_dir))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_windows(_docs(spark, sf_dir))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_runs(_docs(spark, sf_dir))
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_docs(spark, sf_dir))
+
+
 QUERIES = {
+    "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLE_SQL = {
+    "op4_mixing": mixing.ORACLE_SQL,
     "op5_exact_dedup": exact.ORACLE_SQL,
+    "op8_line_dedup": lines.ORACLE_SQL,
 }
