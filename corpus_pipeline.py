@@ -1,8 +1,58 @@
-"""The corpus pipeline: STAGES in order, each a (name, function) over the documents that the one before it kept."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, mixing to target weights, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns the documents it keeps with the
+columns of ``documents``; the last returns the packing layout. ``run`` writes each stage's result in the shared folder and reads
+it again, so a stage's lineage is one table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lumenframe.llm import langid, lines, mixing, packing, simhash
+from lumenframe.llm._common import materialize
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language compression tells apart; dictionaries come from a bounded sample of labelled rows of ``docs``."""
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs; ``n_chars`` follows the text."""
+    return lines.drop_repeated_lines(docs, chars_col="n_chars")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.drop_near_copies(docs)
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents let through by weighted fair queueing of their sources."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes."""
+    return packing.pack_windows(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing_to_weights),
+    ("packing", pack),
+]
+
+#: SQL can't compress, fingerprint or pack; tests/llm hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents in ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
