@@ -39,7 +39,7 @@ def _powers(n: int) -> np.ndarray:
     return _POW
 
 
-def slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, rows) with some ``limit`` bytes of text each, or one longer text."""
     texts = texts.cast(pa.large_string())
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))

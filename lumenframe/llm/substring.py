@@ -60,9 +60,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin, texts in _tokens.slices(batch["text"]):
             name, start, size, doc = recompress(*_tokens.words(texts, _tokens.TOKEN_BYTES, lower=False))
-            rows = batch.slice(begin, len(texts)).take(pa.array(doc))
+            own = pa.array(doc + begin)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(name.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), *(rows[c] for c in ("f", "r", "doc_id"))],
+                [pa.array(name.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), *(batch[c].take(own) for c in ("f", "r", "doc_id"))],
                 ["name", "start", "size", "f", "r", "doc_id"],
             )
 
