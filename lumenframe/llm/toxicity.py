@@ -17,7 +17,7 @@ from ._common import col
 #: The bounded sample: labelled documents of each class that serve as examples, at most.
 EXAMPLES = 1500
 #: A term is in the vocabulary if so many examples have it and its chi-squared with their classes is so high.
-MIN_DF, MIN_CHI = 4, 30.0
+MIN_DF, MIN_CHI = 4, 45.0
 #: A word counts as itself and by its first bytes, so that forms of a rare word count together.
 STEM = 6
 #: Nearest examples that vote; examples in a block of the index; score from which a document is called toxic.
@@ -133,9 +133,10 @@ class Index:
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rising function nearest to the points in weighted squares, as knots: the mean place and the level of each of its steps."""
+    x, at = np.unique(x, return_inverse=True)
     blocks: list[list[float]] = []  # weight, weighted x, weighted y
-    for i in np.argsort(x, kind="stable"):
-        blocks.append([weight[i], weight[i] * x[i], weight[i] * y[i]])
+    for v, w, wy in zip(x, np.bincount(at, weight), np.bincount(at, weight * y)):
+        blocks.append([w, w * v, wy])
         while len(blocks) > 1 and blocks[-2][2] * blocks[-1][0] >= blocks[-1][2] * blocks[-2][0]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
