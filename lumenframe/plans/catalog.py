@@ -27,9 +27,9 @@ def _query(sql: str | None = None):
     return add
 
 
-def _r(x: Column, name: str) -> Column:
-    """Rounded to 4 places; 0.0 is added so that -0.0 becomes 0.0."""
-    return (F.round(x, 4) + 0.0).alias(name)
+def _r(x: Column, name: str, places: int = 4) -> Column:
+    """Rounded; 0.0 is added so that -0.0 becomes 0.0."""
+    return (F.round(x, places) + 0.0).alias(name)
 
 
 _AVG = "SELECT round(avg(r), 4) + 0.0 AS avg_r, round(avg(g), 4) + 0.0 AS avg_g, round(avg(b), 4) + 0.0 AS avg_b, count(*) AS images FROM (SELECT avg(l_quantity / 50) AS r, avg(l_discount) AS g, avg(l_tax) AS b FROM {} GROUP BY l_orderkey)"
@@ -122,10 +122,10 @@ def crop(spark: SparkSession, sf: str) -> DataFrame:
     return _long(rasters(spark, sf), px.crop(F.col("pixels"), F.col("width"), F.col("height"), F.col("bands"), 2, 1, 4, 5))
 
 
-@_query("SELECT l_orderkey AS image_index, l_linenumber AS pos, round(0.30 * l_quantity / 50 + 0.59 * l_discount + 0.11 * l_tax, 4) + 0.0 AS lum, round(l_quantity / 50, 4) + 0.0 AS compat, round(0.299 * l_quantity / 50 + 0.587 * l_discount + 0.114 * l_tax, 4) + 0.0 AS gray FROM lineitem")
+@_query("SELECT l_orderkey AS image_index, l_linenumber AS pos, round(0.30 * (l_quantity / 50) + 0.59 * l_discount + 0.11 * l_tax, 6) + 0.0 AS lum, round(l_quantity / 50, 4) + 0.0 AS compat, round(0.299 * (l_quantity / 50) + 0.587 * l_discount + 0.114 * l_tax, 6) + 0.0 AS gray FROM lineitem")
 def rgb_to_lum(spark: SparkSession, sf: str) -> DataFrame:
     rgb = [F.col(c) for c in "rgb"]
-    return pixels(spark, sf).select("image_index", "pos", _r(px.luminance(*rgb), "lum"), _r(px.luminance(*rgb, compat=True), "compat"), _r(px.gray(*rgb), "gray"))
+    return pixels(spark, sf).select("image_index", "pos", _r(px.luminance(*rgb), "lum", 6), _r(px.luminance(*rgb, compat=True), "compat"), _r(px.gray(*rgb), "gray", 6))
 
 
 @_query("""SELECT l_orderkey AS image_index, l_linenumber AS pos, CAST(floor(greatest(0, least(255, l_quantity / 50 * 255))) AS INTEGER) AS byte,
