@@ -16,6 +16,8 @@ from ._common import col, free
 SAMPLE_DOCS, DICT_BYTES = 200, 1 << 16
 #: The second smallest size must exceed the smallest by this share of itself, else the document is rejected.
 MARGIN = 0.005
+#: Bytes that are compressed at once, each time with the fresh dictionary, so that window_log holds both.
+PIECE = 1 << 14
 
 _PARAMETERS = {
     "strategy": zstandard.STRATEGY_LAZY, "window_log": 17, "hash_log": 15, "chain_log": 16, "search_log": 3, "min_match": 4, "target_length": 8,
@@ -57,9 +59,10 @@ def _compressors(model: tuple[tuple[str, bytes], ...]) -> list[zstandard.ZstdCom
 
 
 def sizes(text: str, model: tuple[tuple[str, bytes], ...]) -> list[int]:
-    """Bytes of the whole text, in lower case, under each language's dictionary."""
+    """Bytes of the whole text, in lower case, under each language's dictionary: the sum over its pieces of PIECE bytes."""
     data = text.lower().encode("utf-8", "surrogatepass")
-    return [len(c.compress(data)) for c in _compressors(model)]
+    pieces = [data[at : at + PIECE] for at in range(0, len(data), PIECE)]
+    return [sum(len(c.compress(piece)) for piece in pieces) for c in _compressors(model)]
 
 
 def classify(text: str | None, model: tuple[tuple[str, bytes], ...]) -> tuple[str | None, float]:
@@ -85,7 +88,7 @@ def _classifier(docs: DataFrame, model: dict[str, bytes]):
 def identify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``predicted``, ``margin``, ``accepted``.
 
-    The whole text, in lower case, is compressed with each language's dictionary; the language of the smallest result is
+    The whole text, in lower case, is compressed in pieces of PIECE bytes, each with the language's dictionary, so the margin doesn't fall with length; the language of the smallest result is
     ``predicted``, and by what share the second smallest is larger is ``margin``. Where that is below ``margin`` the document is rejected
     (``accepted`` is false). Null, empty and blank texts have no prediction, margin 0, and are rejected; with a model of no
     language, all are. Equal sizes give margin 0, so ties are rejected where ``margin`` > 0. Equal rows get equal results. Other columns aren't read.

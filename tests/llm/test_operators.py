@@ -122,6 +122,18 @@ def test_languages(spark, docs, empty):
     assert langid.identify(docs, langid.fit(docs)).count() == docs.count() and langid.identify(docs, {}).filter("accepted").count() == 0
 
 
+def test_languages_of_long_texts(spark):
+    r = random.Random(8)
+    words = {lang: ["".join(r.choices(letters, k=r.randint(3, 9))) for _ in range(3000)] for lang, letters in (("x", "abcdefghijkl"), ("y", "hijklmnopqrstuvw"))}
+    known = spark.createDataFrame([row(i, " ".join(random.Random(i).choices(words[lang], k=300)), lang) for lang in words for i in range(30)], SCHEMA)
+    model = langid.fit(known)
+    long = {lang: " ".join(random.Random(77).choices(words[lang], k=200000)) for lang in words}
+    assert all(len(t) > 1 << 20 for t in long.values())
+    got = {r["doc_id"]: (r["predicted"], r["accepted"], r["margin"]) for r in langid.identify(spark.createDataFrame([row(i, long[lang][:n]) for lang in words for i, n in ((ord(lang), None), (-ord(lang), 10000))], SCHEMA), model).collect()}
+    for lang in words:
+        assert got[ord(lang)][:2] == (lang, True) and got[ord(lang)][2] > got[-ord(lang)][2] / 2
+
+
 def test_toxicity_neighbours_are_exact_and_scores_hold_out(spark, docs, empty):
     texts = [f"{prose(40, i)} {'vile slur ' * (i % 3 + 1) if i % 4 == 0 else ''}" for i in range(160)]
     corpus = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
