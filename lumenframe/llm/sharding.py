@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ._common import col, free, keyed, materialize, running_sum
 
-#: Shards; share by which a shard may exceed its even size; rounds of moves; characters of the shortest line that links documents.
-SHARDS, SLACK, ROUNDS, MIN_CHARS = 16, 0.05, 8, 30
+#: Shards; share by which a shard may exceed its even size; rounds of moves, at most; characters of the shortest line that links documents.
+SHARDS, SLACK, ROUNDS, MIN_CHARS = 16, 0.05, 64, 30
+#: Moves end when the cut hasn't fallen for so many rounds.
+PATIENCE = 4
 
 
 def line_links(docs: DataFrame, key: str, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -30,12 +32,26 @@ def _even(rows: DataFrame, key: str, draw: Column, shards: int) -> DataFrame:
     return dealt.select(key, F.pmod(F.col("place"), F.lit(shards)).cast("int").alias("shard"))
 
 
+def _quotas(wishes: dict[tuple[int, int], int], sizes: dict[int, int], capacity: int, turn: int) -> list[tuple[int, int, int]]:
+    """(i, j, moves): what goes both ways, and beyond it the room of j, shared out evenly among the shards that ask for it."""
+    found = {(i, j): min(n, wishes.get((j, i), 0)) for (i, j), n in wishes.items()}
+    for j in {j for _, j in wishes}:
+        room = max(0, capacity - sizes.get(j, 0))
+        asking = sorted((p for p in wishes if p[1] == j), key=lambda p: (wishes[p] - found[p], (p[0] + turn) % (len(sizes) + 1)))
+        for left, p in zip(range(len(asking), 0, -1), asking):
+            more = min(wishes[p] - found[p], -(-room // left))
+            found[p], room = found[p] + more, room - more
+    return [(i, j, q) for (i, j), q in sorted(found.items()) if q]
+
+
 def propagate(nodes: DataFrame, links: DataFrame, key: str, shards: int, slack: float, rounds: int) -> DataFrame:
-    """``nodes`` (``key``, ``shard``) after ``rounds`` of moves along ``links`` (a, b, w), each written in the shared folder.
+    """``nodes`` (``key``, ``shard``) after moves along ``links`` (a, b, w), each round written in the shared folder.
 
-    In a round each linked node names the shard that holds most of its neighbours' weight. Of those that would gain, a quota moves from
-    shard i to shard j, greatest gains first: as many as would go from j to i, and an equal part of the room that j has below its
-    capacity of (1 + slack) times the even size. So no shard ever passes its capacity, and rounds end when no one moves.
+    In a round half of the linked nodes, by hash of round and key, may move, so that two that wish for each other's shard don't swap for ever.
+    Each names the shard that holds most of its neighbours' weight. Of those that would gain, a quota moves from shard i to shard j, greatest
+    gains first: as many as would go from j to i, and a part of the room that j has below its capacity of (1 + slack) times the even
+    size (see ``_quotas``). So no shard ever passes its capacity. Rounds end when no link is cut, when the cut hasn't fallen for PATIENCE
+    rounds, or after ``rounds``; the round of the least cut is the result.
     """
     total = nodes.count()
     capacity = max(-(-total // shards), int((1 + slack) * total / shards))
@@ -44,27 +60,34 @@ def propagate(nodes: DataFrame, links: DataFrame, key: str, shards: int, slack:
     both = materialize(both.repartition("to"), "links")
     linked = both.select(key).distinct()
     moving = materialize(nodes.join(linked.hint("shuffle_hash"), key), "linked")
-    for turn in range(rounds):
+    least, kept, since = None, moving, 0
+    for turn in range(rounds + 1):
         near = both.join(moving.select(F.col(key).alias("to"), F.col("shard").alias("near")).hint("shuffle_hash"), "to").groupBy(key, "near").agg(F.sum("w").alias("w"))
         near = near.join(moving.hint("shuffle_hash"), key)
         order = F.struct("w", F.col("near") == F.col("shard"), F.xxhash64(F.lit(turn), F.col(key), F.col("near")).alias("tie"), "near")
-        best = near.groupBy(key, "shard").agg(F.max(order).alias("best"), F.sum(F.when(F.col("near") == F.col("shard"), F.col("w")).otherwise(0)).alias("own"))
-        best = best.select(key, F.col("shard").alias("i"), F.col("best.near").alias("j"), (F.col("best.w") - F.col("own")).alias("gain")).filter("gain > 0")
-        best = materialize(best, "wishes")
-        wishes = {(r["i"], r["j"]): r["count"] for r in best.groupBy("i", "j").count().collect()}
-        quotas = []
-        for (i, j), n in sorted(wishes.items()):
-            room = max(0, capacity - sizes.get(j, 0)) // shards
-            quotas.append((i, j, min(n, wishes.get((j, i), 0) + room)))
-        if not sum(q for _, _, q in quotas):
+        best = near.groupBy(key, "shard").agg(F.max(order).alias("best"), F.sum("w").alias("all"), F.sum(F.when(F.col("near") == F.col("shard"), F.col("w")).otherwise(0)).alias("own"))
+        best = best.select(key, F.col("shard").alias("i"), F.col("best.near").alias("j"), (F.col("best.w") - F.col("own")).alias("gain"), (F.col("all") - F.col("own")).alias("away"))
+        best = materialize(best.filter("away > 0"), "wishes")
+        may = (F.col("gain") > 0) & (F.pmod(F.xxhash64(F.lit(29), F.lit(turn), F.col(key)), F.lit(2)) == 0)
+        found = best.groupBy("i", "j").agg(F.count(F.when(may, 1)).alias("n"), F.sum("away").alias("away")).collect()
+        now = sum(r["away"] for r in found)
+        if least is None or now < least:
+            least, kept, since = now, moving, 0
+        else:
+            since += 1
+        if not now or since >= PATIENCE or turn == rounds:
             break
+        quotas = _quotas({(r["i"], r["j"]): r["n"] for r in found if r["n"]}, sizes, capacity, turn)
+        if not quotas:
+            continue
         first = Window.partitionBy("i", "j").orderBy(F.desc("gain"), F.xxhash64(F.lit(turn), F.col(key)), key)
         allowed = best.sparkSession.createDataFrame(quotas, "i int, j int, quota long")
-        moves = best.join(F.broadcast(allowed), ["i", "j"]).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= F.col("quota"))
+        moves = best.filter(may).join(F.broadcast(allowed), ["i", "j"]).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= F.col("quota"))
         moving = moving.join(moves.select(key, "j").hint("shuffle_hash"), key, "left").select(key, F.coalesce("j", "shard").alias("shard"))
         moving = materialize(moving, "linked")
         for i, j, q in quotas:
             sizes[i], sizes[j] = sizes.get(i, 0) - q, sizes.get(j, 0) + q
+    moving = kept
     return nodes.join(moving.withColumnRenamed("shard", "moved").hint("shuffle_hash"), key, "left").select(key, F.coalesce("moved", "shard").alias("shard"))
 
 
@@ -74,8 +97,8 @@ def shard(
     """One row for each row of ``docs``: ``doc_id`` and its ``shard``, from 0 to ``shards`` - 1.
 
     Documents that share a line of ``min_chars`` characters or more are linked (``line_links``). All rows are first dealt evenly in the
-    order of a hash of their place; then linked rows move towards their neighbours' shards under quotas (``propagate``), so that few
-    links are cut and no shard has more than (1 + ``slack``) times the even number of rows (or one more than that number's floor).
+    order of a hash of their place; then linked rows move towards their neighbours' shards under quotas (``propagate``) until the cut
+    stops falling, so that few links are cut and no shard has more than (1 + ``slack``) times the even number of rows (or one more than that number's floor).
 
     The state that the driver holds is one number for each pair of shards. Null and empty texts, and texts without such a line,
     have no links and stay where they were dealt. Rows that are equal, or have one id or none, are rows of their own, linked like

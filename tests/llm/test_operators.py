@@ -165,6 +165,16 @@ def test_shards_are_even_and_cut_less(spark, docs, empty):
     assert sharding.shard(docs, shards=3, rounds=2).count() == docs.count() and sharding.shard(empty).count() == 0
 
 
+@pytest.mark.parametrize("group", [2, 5])
+def test_small_groups_come_together(spark, group):
+    n = 120 * group
+    linked = spark.createDataFrame([row(i, f"a\nthis line joins group {i // group} and no other one\n{i}") for i in range(n)], SCHEMA)
+    where = {r["doc_id"]: r["shard"] for r in sharding.shard(linked, shards=4).collect()}
+    assert np.bincount(list(where.values()), minlength=4).max() <= int(1.05 * n / 4)
+    cut = sum(where[i] != where[i - i % group] for i in range(n))
+    assert cut <= 0.05 * (n - n // group)  # 75 % by chance
+
+
 def _one_block(block):
     predictor, at = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
     out = [predictor]
