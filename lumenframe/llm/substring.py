@@ -67,6 +67,39 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def window_names(word: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` tokens from each token on, as long as there are so many."""
+    if len(word) < n:
+        return np.zeros(0, np.uint64)
+    name, k = word, 1
+    while 2 * k <= n:
+        name, k = _tokens.mix(_tokens.mix(name[:-k] + _LEFT) * _RIGHT + name[k:]), 2 * k
+    return _tokens.mix(_tokens.mix(name[: len(name) - (n - k)] + _LEFT) * _RIGHT + name[n - k :])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The windows of ``n`` tokens around (or, if shorter, in) the asked symbols of each text."""
+    for batch in batches:
+        for begin, texts in _tokens.slices(batch["text"]):
+            word, at = _tokens.words(texts, _tokens.TOKEN_BYTES, lower=False)
+            asked = batch["asked"].slice(begin, len(texts))
+            doc = np.repeat(np.arange(len(texts)), np.diff(asked.offsets.to_numpy()))
+            start, size = (asked.flatten().field(c).to_numpy().astype(np.int64) for c in ("start", "size"))
+            lo = np.maximum(np.minimum(start, start + size - n), 0) + at[doc]
+            hi = np.minimum(np.maximum(start, start + size - n) + at[doc], at[doc + 1] - n)
+            some = hi >= lo
+            edge = np.zeros(len(word) + 1, np.int64)
+            np.add.at(edge, lo[some], 1)
+            np.add.at(edge, hi[some] + 1, -1)
+            i = np.flatnonzero(np.cumsum(edge)[:-1])
+            own = np.searchsorted(at, i, "right") - 1
+            row = pa.array(own + begin)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(window_names(word, n)[i].view(np.int64)), pa.array((i - at[own]).astype(np.int32)), *(batch[c].take(row) for c in ("f", "r", "doc_id"))],
+                ["name", "start", "f", "r", "doc_id"],
+            )
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The asked tokens, as 32-bit hashes, of each text."""
     for batch in batches:
@@ -117,7 +150,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``source_start_token``; a source may be the document itself, at an earlier token, even overlapping.
 
     Every text is recompressed (see ``recompress``) until its symbols stand for SPAN tokens or more. Final symbols are grouped by name
-    over the whole corpus; each one but the first (by id, null last, then row and token) points to the first. Pointers
+    over the whole corpus, and around those that occur again every window of ``min_tokens`` tokens is named. Each window but the first of its name (by id,
+    null last, then row and token) points to the first, so it doesn't matter which symbols occur earlier in other surroundings. Pointers
     of one document to one source at one distance become one candidate, and the tokens of both, with ``min_tokens`` more at
     either side, are compared: the equal runs that are long enough are the result, so nothing unequal is reported. Source slices are
     cut once however many copies point to them. A repeat is missed only if no final symbol inside of it is shared.
@@ -131,9 +165,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = own.select(F.col(f"{key}.f").alias("f"), F.col(f"{key}.r").alias("r"), col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
     anchors = own.mapInArrow(_anchors, "name long, start int, size int, f long, r long, doc_id long")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "f", "r", "start")
-    pairs = anchors.withColumn("s", F.min(place).over(Window.partitionBy("name"))).filter(F.col("s") != place)
+    shared = anchors.withColumn("n", F.count("*").over(Window.partitionBy("name"))).filter("n > 1").groupBy("f", "r").agg(F.collect_list(F.struct("start", "size")).alias("asked"))
+    windows = own.join(shared.hint("shuffle_hash"), ["f", "r"]).select("text", "asked", "f", "r", "doc_id")
+    windows = windows.mapInArrow(lambda b: _windows(b, min_tokens), "name long, start int, f long, r long, doc_id long")
+    pairs = windows.withColumn("s", F.min(place).over(Window.partitionBy("name"))).filter(F.col("s") != place)
     pairs = pairs.groupBy("f", "r", "doc_id", F.col("s.f").alias("sf"), F.col("s.r").alias("sr"), F.col("s.doc_id").alias("source_doc_id"), (F.col("start") - F.col("s.start")).alias("shift"))
-    pairs = pairs.agg((F.min("start") - min_tokens).alias("lo"), (F.max(F.col("start") + F.col("size")) + min_tokens).alias("hi"))
+    pairs = pairs.agg((F.min("start") - min_tokens).alias("lo"), (F.max("start") + 2 * min_tokens).alias("hi"))
     pairs = materialize(pairs.withColumn("source_lo", F.col("lo") - F.col("shift")).withColumn("source_hi", F.col("hi") - F.col("shift")), "pairs")
     asked = pairs.select("f", "r", F.struct(F.lit(1).alias("role"), "sf", "sr", "source_lo", "source_hi", "lo", "hi", "doc_id", "source_doc_id").alias("x"))
     none = F.lit(None).cast("long")

@@ -111,6 +111,28 @@ def test_passages_are_those_of_all_windows(docs, empty, rows):
     assert substring.repeated_passages(docs).count() > 0 and substring.repeated_passages(empty).count() == 0
 
 
+def test_passages_of_edited_copies_are_those_of_all_windows(spark):
+    r = random.Random(5)
+    texts = []
+    for g in range(4):
+        base = [f"g{g}t{i}" for i in range(300)]
+        texts += [[f"e{g}c{c}t{i}" if r.random() < 0.03 else w for i, w in enumerate(base)] for c in range(30)]
+    seen, want = set(), set()
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 49):
+            window = tuple(t[i : i + 50])
+            if window in seen:
+                want |= {(d, x) for x in range(i, i + 50)}
+            seen.add(window)
+    got = set()
+    for x in substring.repeated_passages(spark.createDataFrame([row(d, " ".join(t)) for d, t in enumerate(texts)], SCHEMA)).collect():
+        a, b, n = x["start_token"], x["source_start_token"], x["n_tokens"]
+        assert n >= 50 and texts[x["doc_id"]][a : a + n] == texts[x["source_doc_id"]][b : b + n]
+        got |= {(x["doc_id"], i) for i in range(a, a + n)}
+    assert len(want - got) == 0, (len(want), len(want - got))
+    assert not got - want
+
+
 def test_languages(spark, docs, empty):
     words = {"x": "alpha bravo charlie delta", "y": "uno dos tres cuatro"}
     known = spark.createDataFrame([row(i, " ".join(random.Random(i).choices(words[lang].split(), k=80)), lang) for lang in words for i in range(20)], SCHEMA)
