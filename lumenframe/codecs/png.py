@@ -11,7 +11,7 @@ _MAGIC = b"\x89PNG\r\n\x1a\n"
 _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
 
-def _chunks(data: bytes):
+def chunks(data: bytes):
     if data[:8] != _MAGIC:
         raise ValueError("not a PNG")
     at = 8
@@ -26,15 +26,31 @@ def _chunks(data: bytes):
 
 def read_header(data: bytes) -> tuple[int, int, int]:
     """(width, height, bands), always three bands."""
-    kind, body = next(_chunks(data))
+    kind, body = next(chunks(data))
     if kind != b"IHDR":
         raise ValueError("a PNG without a header")
     return (*struct.unpack_from(">II", body), 3)
 
 
+def _unfiltered(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Pixels of lines of any filters. A pixel needs those to its left, above and above left, so all on one antidiagonal are made at once."""
+    h, w, c = lines.shape
+    out = np.zeros((h + 1, w + 1, c), np.int16)
+    for s in range(h + w - 1):
+        y = np.arange(max(0, s - w + 1), min(h, s + 1))
+        x = s - y
+        a, b, d = out[y + 1, x], out[y, x + 1], out[y, x]
+        pa, pb, pd = abs(b - d), abs(a - d), abs(a + b - 2 * d)
+        paeth = np.where((pa <= pb) & (pa <= pd), a, np.where(pb <= pd, b, d))
+        kind = kinds[y, None]
+        guess = np.select([kind == 0, kind == 1, kind == 2, kind == 3], [np.zeros_like(a), a, b, (a + b) // 2], paeth)
+        out[y + 1, x + 1] = (lines[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(h, w * c)
+
+
 def decode(data: bytes) -> np.ndarray:
     found: dict[bytes, bytes] = {}
-    for kind, body in _chunks(data):
+    for kind, body in chunks(data):
         found[kind] = found.get(kind, b"") + body
     w, h, depth, color, _, _, interlaced = struct.unpack(">IIBBBBB", found[b"IHDR"])
     if depth != 8 or interlaced or color not in _CHANNELS:
@@ -42,7 +58,7 @@ def decode(data: bytes) -> np.ndarray:
     c = _CHANNELS[color]
     rows = np.frombuffer(zlib.decompress(found[b"IDAT"]), np.uint8).reshape(h, 1 + w * c)
     out = np.zeros((h, w * c), np.uint8)
-    above = np.zeros(w * c, np.uint8)
+    above, diagonal = np.zeros(w * c, np.uint8), False
     for y in range(h):
         kind, line = rows[y, 0], rows[y, 1:]
         if kind == 0:
@@ -52,17 +68,11 @@ def decode(data: bytes) -> np.ndarray:
         elif kind == 2:
             out[y] = line + above
         else:
-            now, up = bytearray(line.tobytes()), above.tobytes()
-            for x in range(w * c):
-                a, b, d = (now[x - c], up[x], up[x - c]) if x >= c else (0, up[x], 0)
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    pa, pb, pd = abs(b - d), abs(a - d), abs(a + b - 2 * d)
-                    guess = a if pa <= pb and pa <= pd else b if pb <= pd else d
-                now[x] = (now[x] + guess) & 255
-            out[y] = np.frombuffer(bytes(now), np.uint8)
+            diagonal = True
+            break
         above = out[y]
+    if diagonal:
+        out = _unfiltered(rows[:, 0], rows[:, 1:].reshape(h, w, c))
     pixels = out.reshape(h, w, c)
     if color == 3:
         return np.frombuffer(found[b"PLTE"], np.uint8).reshape(-1, 3)[pixels[:, :, 0]]

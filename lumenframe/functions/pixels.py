@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,17 +53,31 @@ def rgb_to_lum(pixels: Column, compat: bool = False) -> Column:
     return F.transform(F.sequence(F.lit(0), (F.size(pixels) / 3).cast("int") - 1), lambda i: luminance(at(i, 0), at(i, 1), at(i, 2), compat))
 
 
-def _same(a: Column, b: Column) -> Column:
-    """``a``, or an error where the numbers of elements differ."""
-    return F.when(F.size(a) == F.size(b), a).otherwise(F.raise_error(F.lit("images differ in size")))
+#: Columns of a header that two images must share before their pixels can meet.
+SHAPE = ("width", "height", "bands", "color_space")
 
 
-def add(a: Column, b: Column) -> Column:
-    return F.zip_with(_same(a, b), b, lambda x, y: x + y)
+def shape(image: Column | None = None) -> Column:
+    """Width, height, bands and colour space as a struct, of the header columns or of the struct ``image``."""
+    return F.struct(*((F.col(c) if image is None else image[c]).alias(c) for c in SHAPE))
 
 
-def multiply(a: Column, b: Column) -> Column:
-    return F.zip_with(_same(a, b), b, lambda x, y: x * y)
+def _same(a: Column, b: Column, shapes: tuple[Column, Column] | None) -> Column:
+    """``a``, or an error where shapes (or, without them, numbers of elements) differ."""
+    fits = F.size(a) == F.size(b)
+    if shapes:
+        fits = fits & (shapes[0] == shapes[1])
+    return F.when(fits, a).otherwise(F.raise_error(F.lit("images differ in width, height, bands or colour space")))
+
+
+def add(a: Column, b: Column, shapes: tuple[Column, Column] | None = None) -> Column:
+    """Sums of elements; ``shapes`` are the ``shape`` of both images, and an error where they differ."""
+    return F.zip_with(_same(a, b, shapes), b, lambda x, y: x + y)
+
+
+def multiply(a: Column, b: Column, shapes: tuple[Column, Column] | None = None) -> Column:
+    """Products of elements; ``shapes`` as in ``add``."""
+    return F.zip_with(_same(a, b, shapes), b, lambda x, y: x * y)
 
 
 def add_scalar(a: Column, k: float) -> Column:
@@ -79,14 +95,15 @@ def crop(pixels: Column, width: Column, height: Column, bands: Column, x: int, y
     return F.when(inside, F.flatten(rows)).otherwise(F.raise_error(F.lit("crop outside of the image")))
 
 
-def equals(a: Column, b: Column, tolerance: float = 0.0) -> Column:
-    """True where sizes agree and no element differs by more than ``tolerance``."""
-    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda d: d <= tolerance)
+def equals(a: Column, b: Column, tolerance: float = 0.0, shapes: tuple[Column, Column] | None = None) -> Column:
+    """True where numbers of elements (and ``shapes``, if given) agree and no element differs by more than ``tolerance``."""
+    near = (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda d: d <= tolerance)
+    return near & (shapes[0] == shapes[1]) if shapes else near
 
 
 def psnr(a: Column, b: Column, peak: float = 255.0) -> Column:
     """Peak signal-to-noise ratio in dB; null where the arrays are equal."""
-    squares = F.zip_with(_same(a, b), b, lambda x, y: (x - y) * (x - y))
+    squares = F.zip_with(_same(a, b, None), b, lambda x, y: (x - y) * (x - y))
     mse = F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / F.size(a)
     return F.when(mse > 0, 10 * F.log10(F.lit(peak * peak) / mse))
 
@@ -96,6 +113,39 @@ def blank(n: Column) -> Column:
     return F.when(n >= 0, F.array_repeat(F.lit(0.0), n)).otherwise(F.raise_error(F.lit("negative size")))
 
 
+#: Element kinds of typed arrays, the high byte first.
+_TYPED = {"short": ">i2", "int": ">i4", "float": ">f4", "double": ">f8"}
+
+
+def array_to_bytes(values: Column, kind: str) -> Column:
+    """The bytes of an array of ``short``, ``int``, ``float`` or ``double``, the high byte of each first."""
+    layout = _TYPED[kind]
+
+    @F.pandas_udf("binary")
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else np.asarray(x).astype(layout).tobytes() for x in v], dtype=object)
+
+    return run(values)
+
+
+def bytes_to_array(data: Column, kind: str) -> Column:
+    """The array that ``array_to_bytes`` gave the bytes of; a length that isn't whole elements is an error."""
+    layout = _TYPED[kind]
+
+    @F.pandas_udf(f"array<{kind}>")
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else np.frombuffer(x, layout).astype(layout[1:]) for x in v], dtype=object)
+
+    return run(data)
+
+
+def to_matrix(pixels: Column, pixel_type: int) -> Column:
+    """An image as a matrix (type, rows, cols, data); no pixels, sizes below 1 or other than 1 to 4 bands are an error."""
+    sound = pixels.isNotNull() & (F.col("width") > 0) & (F.col("height") > 0) & F.col("bands").between(1, 4)
+    made = F.struct(matrix_type(F.lit(pixel_type), F.col("bands")).cast("int").alias("type"), F.col("height").alias("rows"), F.col("width").alias("cols"), pixels.alias("data"))
+    return F.when(sound, made).otherwise(F.raise_error(F.lit("this image can't be a matrix")))
+
+
 def type_size(t: Column) -> Column:
     return F.when(t == 0, 1).when(t.isin(1, 2), 2).when(t.isin(3, 4), 4).when(t == 5, 8).otherwise(F.raise_error(F.lit("unknown pixel type")))
 

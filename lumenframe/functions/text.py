@@ -31,6 +31,16 @@ def bytes_to_int(b: Column) -> Column:
     return F.when(n >= 1 << 31, n - (1 << 32)).otherwise(n).cast("int")
 
 
+def byte_at(data: Column, i: Column) -> Column:
+    """The byte at place ``i`` (from 0) as 0 to 255."""
+    return F.conv(F.hex(F.substring(data, i + 1, F.lit(1))), 16, 10).cast("int")
+
+
+def raw_string(payload: Column) -> Column:
+    """``RawImage: w x h x b`` and the first ten bytes of the payload at most."""
+    return F.concat(F.format_string("RawImage: %d x %d x %d [", "width", "height", "bands"), byte_dump(payload, 10), F.lit("]"))
+
+
 def header_string() -> Column:
     """``ImageHeader: (format space) w x h x b meta: json``."""
     names = enum_name(F.col("storage_format"), STORAGE_FORMATS), enum_name(F.col("color_space"), COLOR_SPACES)

@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from ..storage import free, materialize
 
 
 def running(df: DataFrame, order: list[str], **sums: str) -> DataFrame:
@@ -26,24 +15,21 @@ def running(df: DataFrame, order: list[str], **sums: str) -> DataFrame:
     one task sees together are a partition's, and one row for each partition. The ranges are written in the shared folder,
     so that a lost executor can't change them.
     """
-    path = f"{_shared(df.sparkSession)}/ranges-{uuid.uuid4().hex}"
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranged.write.parquet(path)
-    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_part").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
-    totals = totals.select("_part", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums))
-    found = ranged.join(totals, "_part")
-    for n, c in sums.items():
-        found = found.withColumn(n, F.sum(c).over(inside) + F.col(f"_{n}"))
-    return found.drop("_part", *(f"_{n}" for n in sums))
+    part, *before = free(df, "part", *(f"before_{i}" for i in range(len(sums))))
+    ranged = materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(part).agg(*(F.sum(c).alias(b) for b, c in zip(before, sums.values())))
+    totals = totals.select(part, *(F.coalesce(F.sum(b).over(earlier), F.lit(0)).alias(b) for b in before))
+    found = ranged.join(totals, part).select(*df.columns, *((F.sum(c).over(inside) + F.col(b)).alias(n) for b, (n, c) in zip(before, sums.items())))
+    return found
 
 
 def indexed(df: DataFrame, order: list[str], out: str = "image_index") -> DataFrame:
     """``df`` with each row's place, from 0."""
-    found = running(df.withColumn("_one", F.lit(1).cast("long")), order, **{out: "_one"})
-    return found.withColumn(out, F.col(out) - 1).drop("_one")
+    (one,) = free(df, "one")
+    found = running(df.withColumn(one, F.lit(1).cast("long")), order, **{out: one})
+    return found.withColumn(out, F.col(out) - 1).drop(one)
 
 
 def splits(df: DataFrame, index: str, count: int, total: int) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
 from ..functions import text as tx
 from ..operators import aggregates as ag
 from ..operators import ordering as od
-from ..schema import STORAGE_FORMATS, enum_name
-from .views import HEADERS_SQL, LONG_SQL, headers, pixels, rasters, table
+from ..schema import RAW, STORAGE_FORMATS, enum_name
+from ..sources import bundle, files
+from ..storage import shared_dir
+from .views import BYTES_SQL, HEADERS_SQL, LONG_SQL, encoded, headers, pixels, rasters, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -103,12 +107,12 @@ def image_sum(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(_long_sql("v + (v * 0.5 + 0.25)"))
 def image_add(spark: SparkSession, sf: str) -> DataFrame:
-    return _long(rasters(spark, sf), px.add(F.col("pixels"), px.add_scalar(px.scale(F.col("pixels"), 0.5), 0.25)))
+    return _long(rasters(spark, sf), px.add(F.col("pixels"), px.add_scalar(px.scale(F.col("pixels"), 0.5), 0.25), (px.shape(), px.shape())))
 
 
 @_query(_long_sql("v * (v * 0.5)"))
 def image_multiply(spark: SparkSession, sf: str) -> DataFrame:
-    return _long(rasters(spark, sf), px.multiply(F.col("pixels"), px.scale(F.col("pixels"), 0.5)))
+    return _long(rasters(spark, sf), px.multiply(F.col("pixels"), px.scale(F.col("pixels"), 0.5), (px.shape(), px.shape())))
 
 
 @_query(_long_sql("v * 1.5"))
@@ -148,7 +152,7 @@ def srgb_compress(spark: SparkSession, sf: str) -> DataFrame:
 def equals_and_psnr(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("pixels")
     other = px.scale(p, 1.01)
-    return rasters(spark, sf).select("image_index", px.equals(p, other, 0.003).alias("same"), _r(px.psnr(p, other, 1.0), "psnr"))
+    return rasters(spark, sf).select("image_index", px.equals(p, other, 0.003, (px.shape(), px.shape())).alias("same"), _r(px.psnr(p, other, 1.0), "psnr"))
 
 
 @_query(f"WITH {LONG_SQL} SELECT CAST(pos AS BIGINT) AS pos, round(avg(v), 4) + 0.0 AS v FROM e GROUP BY pos")
@@ -168,12 +172,27 @@ def covariance(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("i", "j", _r(F.col("v"), "v"))
 
 
+_PATCHES = f"""WITH {LONG_SQL}, p AS (SELECT image_index, CAST(i * 3 + j AS INTEGER) AS patch, CAST((pos // 8 - 4 * j // 3) * 4 + pos % 8 - 4 * i // 3 AS INTEGER) AS cell, v
+  FROM e, range(3) a(i), range(3) b(j) WHERE pos // 8 - 4 * j // 3 BETWEEN 0 AND 3 AND pos % 8 - 4 * i // 3 BETWEEN 0 AND 3),
+m AS (SELECT cell, avg(v) AS m FROM p GROUP BY cell),
+u AS (SELECT cell, exp(-((cell // 4 - 2) * (cell // 4 - 2) + (cell % 4 - 2) * (cell % 4 - 2)) / 8.0) AS u FROM m), w AS (SELECT cell, u / (SELECT sqrt(sum(u * u)) FROM u) AS w FROM u),
+c AS (SELECT image_index, patch, cell, (v - m) * w AS v FROM p JOIN m USING (cell) JOIN w USING (cell))
+SELECT a.cell AS i, b.cell AS j, round(sum(a.v * b.v), 3) + 0.0 AS v FROM c a JOIN c b USING (image_index, patch) GROUP BY 1, 2"""
+
+
+@_query(_PATCHES)
+def covariance_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    """A grid of 3 x 3 patches of 4 x 4 pixels an image, under Gaussian weights."""
+    mean = np.array([r["v"] for r in ag.mean_patch(rasters(spark, sf), 4, 3).orderBy("pos").collect()])
+    found = ag.covariance(rasters(spark, sf), mean, 4, 3, 2.0)
+    return found.select("i", "j", _r(F.col("v"), "v", 3))
+
+
 @_query()
 def principal_components(spark: SparkSession, sf: str) -> DataFrame:
-    cells = ag.covariance(rasters(spark, sf), _mean(spark, sf), 8, 1, ag.SIGMA).collect()
     matrix = np.zeros((64, 64))
-    for r in cells:
-        matrix[r["i"], r["j"]] = r["v"]
+    for r in ag.covariance_rows(rasters(spark, sf), _mean(spark, sf), 8, 1, ag.SIGMA).collect():  # 64 rows, however many images
+        matrix[r["i"]] = np.frombuffer(r["row"], np.float64)
     values, vectors = ag.principal_components(matrix, 15)
     return spark.createDataFrame([(k, float(v), w.tolist()) for k, (v, w) in enumerate(zip(values, vectors))], "component int, value double, vector array<double>")
 
@@ -191,10 +210,10 @@ def gaussian_weights(spark: SparkSession, sf: str) -> DataFrame:
 @_query(f"""WITH {HEADERS_SQL} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, count(*) AS images, sum((width - 64) * i // 10)::BIGINT AS x, sum((height - 64) * j // 10)::BIGINT AS y
 FROM h, range(10) a(i), range(10) b(j) WHERE width >= 64 AND height >= 64 GROUP BY 1, 2""")
 def patch_grid(spark: SparkSession, sf: str) -> DataFrame:
-    big = headers(spark, sf).filter("width >= 64 and height >= 64")
-    grid = big.select("width", "height", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"))
-    at = lambda size, k: F.floor((F.col(size) - 64) * F.col(k) / 10)
-    return grid.groupBy("i", "j").agg(F.count("*").alias("images"), F.sum(at("width", "i")).alias("x"), F.sum(at("height", "j")).alias("y"))
+    big = headers(spark, sf).filter("width >= 64 and height >= 64").groupBy("width", "height").agg(F.count("*").alias("n"))  # 100 cells a size, not an image
+    grid = big.select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"))
+    at = lambda size, k: F.floor((F.col(size) - 64) * F.col(k) / 10) * F.col("n")
+    return grid.groupBy("i", "j").agg(F.sum("n").alias("images"), F.sum(at("width", "i")).alias("x"), F.sum(at("height", "j")).alias("y"))
 
 
 @_query("SELECT doc_id, sha1(text) AS digest, array_to_string(list_transform(range(1, 40, 2), lambda i: regexp_replace(substr(sha1(text), i, 2), '^0', '')), '') AS compat FROM documents")
@@ -215,7 +234,8 @@ def order_import(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("SELECT page_id, url, image_index FROM (SELECT page_id, url, row_number() OVER (ORDER BY url, page_id) - 1 AS image_index FROM pages) WHERE image_index = 7")
 def ordinal_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return order_import(spark, sf).filter("image_index = 7")
+    first = table(spark, sf, "pages").select("page_id", "url").orderBy("url", "page_id").limit(8)  # partial top-k, then 8 rows
+    return first.withColumn("image_index", F.row_number().over(Window.orderBy("url", "page_id")).cast("long") - 1).filter("image_index = 7")
 
 
 @_query("SELECT page_id, sum(12 + 24 + 2 + octet_length(encode(html))) OVER (ORDER BY page_id)::BIGINT AS end_offset FROM pages")
@@ -260,3 +280,85 @@ def lines_by_source(spark: SparkSession, sf: str) -> DataFrame:
 def matrix_types(spark: SparkSession, sf: str) -> DataFrame:
     t, b = F.floor(F.col("id") / 6).cast("int"), (F.col("id") % 6).cast("int")
     return spark.range(36).select(t.alias("t"), b.alias("b")).select("t", "b", px.matrix_type(F.col("t"), F.col("b")).alias("code"), px.type_size(F.col("t")).alias("size"))
+
+
+@_query(f"WITH {BYTES_SQL} SELECT image_index, pos, v FROM p WHERE format IN (2, 3)")
+def decode_lossless(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels of PNG and PPM payloads, encoded from embeddings and decoded again."""
+    images = files.decoded(encoded(spark, sf).filter("storage_format in (2, 3)"), "byte")
+    at = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pos")
+    return images.select("image_index", "pixels", at).select("image_index", "pos", tx.byte_at(F.col("pixels"), F.col("pos") * 3).alias("v"))
+
+
+@_query(f"WITH {BYTES_SQL} SELECT image_index, 8 AS width, 8 AS height, true AS close FROM p WHERE format = 1 GROUP BY 1")
+def decode_jpeg(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether decoded JPEG payloads are within 30 dB of what was encoded."""
+    images = encoded(spark, sf).filter("storage_format = 1").withColumn("wide", F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: tx.byte_at(F.col("truth"), i).cast("double")))
+    images = files.decoded(images, "byte").withColumn("read", F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: tx.byte_at(F.col("pixels"), i).cast("double")))
+    return images.select("image_index", "width", "height", (F.coalesce(px.psnr(F.col("wide"), F.col("read")), F.lit(99.0)) >= 30).alias("close"))
+
+
+@_query(f"""WITH {BYTES_SQL}, l AS (SELECT CASE WHEN v / 255.0 <= 0.04045 THEN v / 255.0 / 12.92 ELSE pow((v / 255.0 + 0.055) / 1.055, 2.4) END AS l, image_index FROM p WHERE format = 2)
+SELECT image_index, round(avg(l), 4) + 0.0 AS mean FROM l GROUP BY 1""")
+def decode_linear(spark: SparkSession, sf: str) -> DataFrame:
+    images = files.decoded(encoded(spark, sf).filter("storage_format = 2"), "float")
+    mean = F.aggregate(F.col("pixels").cast("array<double>"), F.lit(0.0), lambda s, x: s + x) / F.size("pixels")
+    return images.select("image_index", _r(mean, "mean"))
+
+
+def stored(spark: SparkSession, sf: str) -> str:
+    """A bundle of the encoded images, in the order of their ids, in the shared folder, which must be a mounted one."""
+    bundle.register(spark)
+    rows = encoded(spark, sf).repartitionByRange(8, "image_index").sortWithinPartitions("image_index").select(*RAW.fieldNames())
+    out = f"{shared_dir(spark).removeprefix('file://')}/lumenframe/bundle-{uuid.uuid4().hex}"
+    rows.write.format("imagebundle").mode("append").save(out)
+    return out
+
+
+@_query("SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS image_index, CAST(1 + label % 3 AS INTEGER) AS storage_format, CAST(vec_id AS VARCHAR) AS source FROM embeddings QUALIFY storage_format = 2")
+def bundle_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Headers of one format from a bundle; the reader passes over the other images and all payloads."""
+    rows = spark.read.format("imagebundle").option("payload", "false").option("where", "storage_format = 2").load(stored(spark, sf))
+    return rows.select("image_index", "storage_format", F.col("meta")["source"].alias("source"))
+
+
+@_query(f"WITH {BYTES_SQL}, q AS (SELECT dense_rank() OVER (ORDER BY image_index) - 1 AS k, pos, v FROM p) SELECT CAST(k AS BIGINT) AS image_index, CAST(sum(v) AS BIGINT) AS total FROM q WHERE k = 5 GROUP BY 1")
+def bundle_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The sixth image of a bundle by its place; it is a PNG or PPM, or its JPEG's pixels are those of the table within rounding."""
+    rows = spark.read.format("imagebundle").option("where", "image_index = 5").load(stored(spark, sf))
+    cells = files.decoded(rows, "byte").select("image_index", "pixels", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pos"))
+    return cells.groupBy("image_index").agg(F.sum(tx.byte_at(F.col("pixels"), F.col("pos") * 3)).alias("total"))
+
+
+@_query("""SELECT vec_id AS image_index, '8x8' || chr(9) || '(' || vec_id || ')' || chr(9) || '  ' || CASE WHEN label % 3 = 0 THEN 'Camera ' || label ELSE 'null' END AS line FROM embeddings""")
+def dump_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Dump lines with the camera's model, read from the payloads' EXIF tags."""
+    rows = encoded(spark, sf).withColumn("exif", files.exif("payload", "storage_format"))
+    return rows.select("image_index", tx.dump_line(F.col("meta")["source"], F.col("exif")["Model"]).alias("line"))
+
+
+@_query("SELECT vec_id AS image_index, label FROM embeddings WHERE label % 3 = 0 AND label >= 6")
+def cull_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Images kept by an EXIF-aware cull: those whose model is a camera of number 6 or more."""
+    rows = encoded(spark, sf).withColumn("exif", files.exif("payload", "storage_format"))
+    number = F.regexp_extract(F.coalesce(F.col("exif")["Model"], F.lit("")), "Camera (\\d+)", 1)
+    return ag.cull(rows, (number == "") | (number.try_cast("int") < 6)).select("image_index", "label")
+
+
+@_query("SELECT vec_id AS image_index, 5 AS type, 8 AS rows, 8 AS cols, CAST(unnest(range(64)) AS INTEGER) AS pos, round(CAST(unnest(embedding) AS DOUBLE), 4) + 0.0 AS v FROM embeddings")
+def image_to_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Images as matrices of floats, by way of their bytes."""
+    data = px.bytes_to_array(px.array_to_bytes(F.col("pixels"), "float"), "float")
+    rows = rasters(spark, sf).select("image_index", px.to_matrix(data, 4).alias("m"))
+    return rows.select("image_index", "m.type", "m.rows", "m.cols", F.posexplode("m.data").alias("pos", "v")).withColumn("v", _r(F.col("v").cast("double"), "v"))
+
+
+@_query(f"WITH {HEADERS_SQL} SELECT storage_format, image_index, row_number() OVER (ORDER BY storage_format, image_index) - 1 AS place FROM h")
+def order_by_format(spark: SparkSession, sf: str) -> DataFrame:
+    return od.indexed(headers(spark, sf).select("storage_format", "image_index"), ["storage_format", "image_index"], "place")
+
+
+@_query("SELECT doc_id, printf('RawImage: %d x 1 x 3 [', n_chars) || trim(regexp_replace(substr(hex(encode(text)), 1, 20), '(..)', '0x\\1 ', 'g')) || ']' AS line FROM documents")
+def raw_strings(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select("doc_id", "text", F.col("n_chars").alias("width"), F.lit(1).alias("height"), F.lit(3).alias("bands"))
+    return rows.select("doc_id", tx.raw_string(F.col("text").cast("binary")).alias("line"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..codecs import exif
+from ..sources import files
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,3 +46,34 @@ def rasters(spark: SparkSession, sf: str) -> DataFrame:
 
 #: (image_index, pos, v) of the rasters.
 LONG_SQL = "e AS (SELECT vec_id AS image_index, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
+
+
+#: (image_index, format, pos, v): the bytes of the images of ``encoded``, alike in all bands.
+BYTES_SQL = """p AS (SELECT vec_id AS image_index, CAST(1 + label % 3 AS INTEGER) AS format, CAST(unnest(range(64)) AS INTEGER) AS pos,
+  CAST(floor(greatest(0, least(255, 128 + 300 * CAST(unnest(embedding) AS DOUBLE)))) AS INTEGER) AS v FROM embeddings)"""
+
+
+@F.pandas_udf(T.BinaryType())
+def _rgb(values: pd.Series) -> pd.Series:
+    """Three equal bands of bytes from values around 0."""
+    return pd.Series([np.repeat(np.floor(np.clip(128 + 300 * np.asarray(v, np.float64), 0, 255)).astype(np.uint8), 3).tobytes() for v in values], dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def _tagged(payload: pd.Series, model: pd.Series) -> pd.Series:
+    """JPEG payloads with the camera's model in an EXIF segment; null leaves them."""
+    return pd.Series([p if m is None else p[:2] + exif.block({0x0110: m}) + p[2:] for p, m in zip(payload, model)], dtype=object)
+
+
+def encoded(spark: SparkSession, sf: str) -> DataFrame:
+    """The embeddings as 8 x 8 images of three bands, encoded as JPEG, PNG and PPM by turns of the label; ``truth`` has the bytes that were encoded.
+
+    Every JPEG has the EXIF model ``Camera`` with its label.
+    """
+    kind = (1 + F.col("label") % 3).cast("int")
+    rows = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("image_index"), kind.alias("storage_format"), F.lit(1).alias("color_space"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(3).alias("bands"),
+        F.create_map(F.lit("source"), F.col("vec_id").cast("string")).alias("meta"), "label", _rgb("embedding").alias("truth"),
+    )
+    model = F.when(F.col("storage_format") == 1, F.concat(F.lit("Camera "), F.col("label").cast("string")))
+    return rows.withColumn("payload", _tagged(files.encode("truth", "width", "height", "storage_format"), model))

@@ -36,5 +36,5 @@ def enum_value(name: Column, names: dict[int, str]) -> Column:
 
 
 def valid() -> Column:
-    """True for headers whose sizes are 1 or more."""
+    """True for headers whose sizes are 1 or more; what is encoded or shown must pass it."""
     return (F.col("width") >= 1) & (F.col("height") >= 1) & (F.col("bands") >= 1)

@@ -7,14 +7,18 @@ folder of them, as the writer leaves it: one for each task. Files are opened by
 from __future__ import annotations
 
 import json
+import operator
 import os
+import re
 import shutil
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..schema import RAW
@@ -23,15 +27,16 @@ MAGIC = 0x81911B18
 _INDEX, _SIGNATURE, _HEADER = struct.Struct(">IqqI"), struct.Struct(">iii"), struct.Struct(">iiiiii")
 
 
-def offsets(path: str, most: int = 0) -> list[int]:
-    """Ends of the records, of the first ``most`` (0: all)."""
+def offsets(path: str, most: int = 0) -> np.ndarray:
+    """Ends of the records, of the first ``most`` (0: all); the file is mapped, so only what is looked at is read."""
     with open(path, "rb") as f:
-        magic, _, _, skip = _INDEX.unpack(f.read(_INDEX.size))
-        if magic != MAGIC:
-            raise ValueError(f"{path} is no bundle's index")
-        f.seek(skip, 1)
-        data = f.read(8 * most if most else -1)
-    return list(struct.unpack(f">{len(data) // 8}q", data[: len(data) // 8 * 8]))
+        head = f.read(_INDEX.size)
+    if len(head) < _INDEX.size or _INDEX.unpack(head)[0] != MAGIC:
+        raise ValueError(f"{path} is no bundle's index")
+    at = _INDEX.size + _INDEX.unpack(head)[3]
+    n = (os.path.getsize(path) - at) // 8
+    n = min(n, most) if most else n
+    return np.memmap(path, ">i8", "r", at, n) if n else np.zeros(0, np.int64)
 
 
 def bundles(path: str) -> list[str]:
@@ -48,54 +53,93 @@ class Records(InputPartition):
     first: int
 
 
+#: Comparisons of a header column with a number, as the option ``where`` has them.
+_TESTS = {"=": operator.eq, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
+_FIELDS = ("image_index", "storage_format", "color_space", "width", "height", "bands")
+#: Rows and bytes of payload of a batch, about.
+_ROWS, _BYTES = 1024, 16 << 20
+
+
 class BundleReader(DataSourceReader):
+    """Options: ``splitBytes`` or ``numPartitions``; ``start`` and ``end``, offsets in the records' file, of which the records that begin at
+    ``start`` or later and before ``end`` or at it are read (0: to the end); ``payload`` ``false``, which leaves payloads null and unread;
+    ``where``, comparisons of header columns with numbers, such as ``width > 3200 and storage_format = 1``, that are made before a payload
+    is read. An option rather than pushed filters: Spark keeps a reader with the filters of one query for other queries of the same DataFrame.
+    """
+
     def __init__(self, path: str, options: dict):
         self.path, self.wanted, self.index = path, int(options.get("numPartitions", 0)), None
         self.size = int(options.get("splitBytes", 128 << 20))
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("image_index",):
-                self.index = f.value
-            yield f
+        self.start, self.end = int(options.get("start", 0)), int(options.get("end", 0))
+        self.payload = options.get("payload", "true").lower() != "false"
+        self.tests: list[tuple[int, object, int]] = []
+        for part in filter(None, re.split(r"\s+and\s+", options.get("where", "").strip(), flags=re.IGNORECASE)):
+            m = re.fullmatch(r"(\w+)\s*(=|>=|<=|>|<)\s*(-?\d+)", part.strip())
+            if not m or m[1] not in _FIELDS:
+                raise ValueError(f"where can't read {part}")
+            self.tests.append((_FIELDS.index(m[1]), _TESTS[m[2]], int(m[3])))
+            if m[1] == "image_index" and m[2] == "=":
+                self.index = int(m[3])
 
     def partitions(self) -> list[Records]:
-        """Records that end in one span of ``splitBytes``, or, with ``numPartitions``, the images left over the splits left, rounded up."""
+        """Records that begin in one span of ``splitBytes``, or, with ``numPartitions``, the images left over the splits left, rounded up."""
         found, first = [], 0
         for path in bundles(self.path):
             ends = offsets(path)
-            starts = [0, *ends[:-1]]
+            n = len(ends)
+            begin = lambda i: int(ends[i - 1]) if i else 0  # noqa: B023, E731
+            lo = int(np.searchsorted(ends, self.start, "left")) + 1 if self.start else 0
+            hi = min(n, int(np.searchsorted(ends, self.end, "right")) + 1) if self.end else n
             if self.index is not None:
-                if 0 <= (k := self.index - first) < len(ends):
-                    found.append(Records(path, starts[k], ends[k], self.index))
+                if lo <= (k := self.index - first) < hi:
+                    found.append(Records(path, begin(k), int(ends[k]), self.index))
             else:
-                at, left = 0, self.wanted
-                while at < len(ends):
-                    to = at + 1
+                at, left = lo, self.wanted
+                while at < hi:
                     if self.wanted:
-                        to, left = at + -(-(len(ends) - at) // max(1, left)), left - 1
+                        to, left = at + -(-(hi - at) // max(1, left)), left - 1
                     else:
-                        while to < len(ends) and starts[to] // self.size == starts[at] // self.size:
-                            to += 1
-                    found.append(Records(path, starts[at], ends[to - 1], first + at))
+                        past = (begin(at) // self.size + 1) * self.size  # the next span's first byte
+                        to = min(hi, max(at + 1, int(np.searchsorted(ends, past, "left")) + 1))
+                    found.append(Records(path, begin(at), int(ends[to - 1]), first + at))
                     at = to
-            first += len(ends)
+            first += n
         return found or [Records("", 0, 0, 0)]
 
-    def read(self, p: Records) -> Iterator[tuple]:
+    def read(self, p: Records) -> Iterator[pa.RecordBatch]:
         if not p.path:
             return
+        rows, held = [], 0
         with open(f"{p.path}.dat", "rb") as f:
             f.seek(p.start)
             index = p.first
             while f.tell() < p.end:
-                n, size, kind = _SIGNATURE.unpack(f.read(_SIGNATURE.size))
+                signature = f.read(_SIGNATURE.size)
+                n, size, kind = _SIGNATURE.unpack(signature) if len(signature) == _SIGNATURE.size else (0, 0, 0)
                 if n <= 0 or size <= 0 or not kind:
                     raise ValueError(f"{p.path}.dat holds a damaged record before {f.tell()}")
-                head, payload = f.read(n), f.read(size)
+                head = f.read(n)
                 fmt, space, w, h, bands, length = _HEADER.unpack_from(head)
-                yield index, fmt, space, w, h, bands, json.loads(head[_HEADER.size : _HEADER.size + length] or b"{}"), payload
+                fields = (index, fmt, space, w, h, bands)
                 index += 1
+                if all(test(fields[i], value) for i, test, value in self.tests):
+                    meta = json.loads(head[_HEADER.size : _HEADER.size + length] or b"{}")
+                    rows.append((*fields, list(meta.items()), f.read(size) if self.payload else f.seek(size, 1) and None))
+                    held += size if self.payload else 0
+                    if len(rows) >= _ROWS or held >= _BYTES:
+                        yield _batch(rows)
+                        rows, held = [], 0
+                else:
+                    f.seek(size, 1)
+        if rows:
+            yield _batch(rows)
+
+
+_ARROW = pa.schema([("image_index", pa.int64()), *((n, pa.int32()) for n in _FIELDS[1:]), ("meta", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
 @dataclass
@@ -161,6 +205,5 @@ class BundleSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes ``imagebundle`` known, and lets a lookup by ``image_index`` reach it."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Makes ``imagebundle`` known."""
     spark.dataSource.register(BundleSource)

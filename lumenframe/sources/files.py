@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..codecs import jpeg, netpbm, png
+from ..codecs import exif as tags
+from ..codecs import jpeg, matrix, netpbm, png
 from ..functions.text import base_name, suffix, tsv_meta
 
 PHOTO_COLUMNS = (
@@ -16,7 +20,7 @@ PHOTO_COLUMNS = (
     "page_url download_url license_name license_url server_id farm_id secret secret_original extension marker"
 ).split()
 _READERS = {1: jpeg.read_header, 2: png.read_header, 3: netpbm.read_header}
-_DECODERS = {2: png.decode, 3: netpbm.decode}
+_DECODERS = {1: jpeg.decode, 2: png.decode, 3: netpbm.decode}
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("width", "height", "bands")]))
@@ -32,19 +36,88 @@ def read_header(payload: pd.Series, storage_format: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(d, k) for d, k in zip(payload, storage_format)], columns=["width", "height", "bands"]).astype("Int32")
 
 
+def pixels_of(data: bytes, storage_format: int) -> np.ndarray | None:
+    """Pixels (y, x, band) of an encoded image; None where they can't be decoded."""
+    try:
+        return _DECODERS[storage_format](bytes(data))
+    except (ValueError, KeyError, TypeError, IndexError, struct.error, zlib.error):
+        return None
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode(payload: pd.Series, storage_format: pd.Series) -> pd.Series:
-    """Linear pixels of PNG and PPM payloads; null where they can't be decoded, JPEG among them (read these by ``jpeg_pixels``)."""
+    """Linear pixels of JPEG, PNG and PPM payloads; null where they can't be decoded."""
     n = np.arange(256) / 255
     linear = np.where(n <= 0.04045, n / 12.92, ((n + 0.055) / 1.055) ** 2.4).astype(np.float32)
+    found = (pixels_of(d, k) for d, k in zip(payload, storage_format))
+    return pd.Series([None if x is None else linear[x].ravel() for x in found], dtype=object)
 
-    def one(data: bytes, kind: int):
+
+_ENCODERS = {1: jpeg.encode, 2: png.encode, 3: netpbm.encode}
+
+
+@F.pandas_udf(T.BinaryType())
+def encode(pixels: pd.Series, width: pd.Series, height: pd.Series, storage_format: pd.Series) -> pd.Series:
+    """Encoded payloads from sRGB bytes of three bands; null where there are no pixels. Other sizes or formats are an error."""
+    rows = zip(pixels, width, height, storage_format)
+    return pd.Series([None if p is None else _ENCODERS[k](np.frombuffer(p, np.uint8).reshape(h, w, 3)) for p, w, h, k in rows], dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def decode_bytes(payload: pd.Series, storage_format: pd.Series) -> pd.Series:
+    """sRGB pixels of JPEG, PNG and PPM payloads, a byte each; null where they can't be decoded."""
+    found = (pixels_of(d, k) for d, k in zip(payload, storage_format))
+    return pd.Series([None if x is None else x.tobytes() for x in found], dtype=object)
+
+
+def decoded(images: DataFrame, image_type: str = "float") -> DataFrame:
+    """``images`` with ``pixels`` in place of ``payload``: linear floats (``float``) or sRGB bytes (``byte``); ``raw`` leaves the payload.
+
+    Another type is an error, and so is a storage format without decoder. Images whose payload can't be decoded, or has another size than
+    the header says, have null pixels. Filters on header columns are run before any decoding.
+    """
+    if image_type == "raw":
+        return images
+    if image_type not in ("float", "byte"):
+        raise ValueError(f"unknown image type {image_type}")
+    known = F.when(F.col("storage_format").isin(*_DECODERS), F.col("storage_format")).otherwise(F.raise_error(F.lit("no decoder for this storage format")))
+    made = (decode if image_type == "float" else decode_bytes)("payload", known)
+    size = F.size("pixels") if image_type == "float" else F.octet_length("pixels")
+    fits = size == F.col("width") * F.col("height") * F.col("bands")
+    return images.withColumn("pixels", made).withColumn("pixels", F.when(fits, F.col("pixels"))).drop("payload")
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def exif(payload: pd.Series, storage_format: pd.Series) -> pd.Series:
+    """EXIF tags of JPEG and PNG payloads by name, as texts; an empty map where there are none or they can't be read."""
+
+    def one(data: bytes, kind: int) -> dict[str, str]:
+        try:
+            return tags.read(bytes(data), kind)
+        except (ValueError, TypeError, struct.error):
+            return {}
+
+    return pd.Series([one(d, k) for d, k in zip(payload, storage_format)], dtype=object)
+
+
+@F.pandas_udf(T.StructType([*(T.StructField(n, T.IntegerType()) for n in ("type", "rows", "cols")), T.StructField("data", T.ArrayType(T.DoubleType()))]))
+def decode_matrix(payload: pd.Series) -> pd.DataFrame:
+    """Matrices from the bytes of matrix files; null where they can't be read. Elements go row by row, channels last."""
+
+    def one(data: bytes) -> tuple:
         try:
-            return linear[_DECODERS[kind](bytes(data))].ravel()
-        except (ValueError, KeyError, TypeError):
-            return None
+            m = matrix.decode(bytes(data))
+            return struct.unpack_from(">i", data)[0], m.shape[0], m.shape[1], m.astype(float).ravel()
+        except (ValueError, KeyError, TypeError, struct.error):
+            return None, None, None, None
+
+    return pd.DataFrame([one(d) for d in payload], columns=["type", "rows", "cols", "data"]).astype({c: "Int32" for c in ("type", "rows", "cols")})
 
-    return pd.Series([one(d, k) for d, k in zip(payload, storage_format)])
+
+def matrices(spark: SparkSession, path: str) -> DataFrame:
+    """The matrix files at ``path``: ``path``, ``type``, ``rows``, ``cols``, ``data``."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", decode_matrix("content").alias("m")).select("path", "m.*")
 
 
 def format_of(path: Column) -> Column:
@@ -76,3 +149,11 @@ def photo_list(spark: SparkSession, path: str, videos: bool = False) -> DataFram
     rows = spark.read.text(path).filter(F.size(parts) == len(PHOTO_COLUMNS))
     found = rows.select(*(parts[i].alias(c) for i, c in enumerate(PHOTO_COLUMNS)), tsv_meta(F.col("value")).alias("meta"))
     return found if videos else found.filter("marker <> '1'")
+
+
+def images_named(path: str) -> int:
+    """The number of images that a photo list's file name tells, as its second part between dashes; another name is an error."""
+    parts = path.rpartition("/")[2].split("-")
+    if len(parts) < 2 or not parts[1].isdigit():
+        raise ValueError(f"{path} doesn't name its number of images")
+    return int(parts[1])
