@@ -1,73 +1,54 @@
-"""Helpers shared by the corpus operators: stable tables, row keys, free names, running sums."""
+"""Helpers shared by the corpus operators: row keys, tokens, running sums."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A token is a run of characters other than blank, tab, line feed and carriage return.
-TOKEN = "[^ \\t\\n\\r]+"
+from ..storage import col, discard, free, materialize, shared_dir
 
+__all__ = ["TOKEN", "col", "discard", "free", "int_id", "keyed", "materialize", "n_tokens", "running_sum", "shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session (one machine) gets a folder of its own, removed at exit; a cluster is refused, as no folder of
-    one machine can survive the loss of that machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="lumenframe-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
-def materialize(df: DataFrame, what: str = "table") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: its lineage is cut and any retry sees the same rows."""
-    path = f"{shared_dir(df.sparkSession)}/lumenframe/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A token is a run of characters other than blank, tab, line feed and carriage return.
+TOKEN = "[^ \\t\\n\\r]+"
 
 
-def free(df: DataFrame, *wanted: str) -> list[str]:
-    """Names like ``wanted`` that no column of ``df`` has, whatever its case."""
-    taken = {c.lower() for c in df.columns}
-    prefix = "_lf"
-    while any(c.startswith(prefix) for c in taken):
-        prefix += "x"
-    return [f"{prefix}_{w}" for w in wanted]
+def int_id(name: str) -> Column:
+    """The id as a 64-bit integer; one that isn't an integer counts as null."""
+    return col(name).try_cast("long")
 
 
-def col(name: str) -> Column:
-    """The column of just this name, dots and all."""
-    return F.col("`" + name.replace("`", "``") + "`")
+def _rows_of_one_scan(df: DataFrame) -> bool:
+    """True where each row is one row of a Parquet scan, met once: filters and projections above one path, all deterministic."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while (kind := plan.getClass().getSimpleName()) in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if kind != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().location().rootPaths().size() == 1
 
 
 def keyed(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with a struct ``key`` that differs for any two rows and that every retry and every reading gives alike.
 
-    It is the file and the place of the row in it. Rows that don't come straight from files are first written in the shared folder.
+    It is the file and the place of the row in it, where a row is a row of one scan. All other rows (of joins, unions, exploded or
+    drawn ones, a path read twice, other formats) are first written in the shared folder, as equal rows of a file could stand behind several.
     """
     def place(df: DataFrame) -> DataFrame:
         m = df.metadataColumn("_metadata")
         return df.select("*", F.struct(F.xxhash64(m["file_path"]).alias("f"), m["row_index"].alias("r")).alias(key))
 
-    try:
-        found = place(docs)
-        found.schema  # noqa: B018  analysed here
-        return found
-    except AnalysisException:
-        return place(materialize(docs, "rows"))
+    if _rows_of_one_scan(docs):
+        try:
+            found = place(docs)
+            found.schema  # noqa: B018  analysed here
+            return found
+        except AnalysisException:
+            pass
+    return place(materialize(docs, "rows"))
 
 
 def n_tokens(text: str = "text") -> Column:

@@ -86,9 +86,13 @@ def drop_repeated_lines(
     key, gone = free(docs, "key", "gone")
     own = keyed(docs, key)
     runs = _deleted(_later(own, key, id_col, text_col, min_lines, min_chars), key)
-    runs = runs.groupBy(key).agg(F.flatten(F.collect_list(F.sequence("start", F.col("end") - 1))).alias(gone))
+    runs = runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(gone))
     rows = own.join(runs.hint("shuffle_hash"), key, "left")
-    kept = F.array_join(F.filter(F.split(col(text_col), "\n", -1), lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
+    between = lambda x: F.zip_with(  # noqa: E731  the stretches of lines that stay, from each deleted one's end to the next one's start
+        F.concat(F.array(F.lit(0)), F.col(gone)["end"]), F.concat(F.col(gone)["start"], F.array(F.size(x))), lambda a, b: F.slice(x, a + 1, b - a)
+    )
+    split = F.array(F.split(col(text_col), "\n", -1))  # bound once by transform, not split again for each stretch
+    kept = F.transform(split, lambda x: F.array_join(F.flatten(between(x)), "\n"))[0]
     text = F.when(F.col(gone).isNull(), col(text_col)).otherwise(kept)
     rows = rows.withColumn(text_col, text).filter(F.col(gone).isNull() | (F.trim(F.translate(col(text_col), "\n\r\t", "   ")) != ""))
     if chars_col:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _tokens
-from ._common import col
+from ._common import int_id
 
 #: Samples a second of the calls and of what is stored; bytes of an ADPCM block (a header of 4, then two samples a byte).
 RATE, STORED_RATE, BLOCK = 8000, 16000, 256
@@ -175,14 +175,14 @@ def store_pcm(calls: DataFrame, payload: Column, codec: Column, id_col: str = "d
     ``payload`` is the call's bytes (a string counts as its UTF-8), ``codec`` one of CODECS. Laws are expanded by a table of 256 samples; ADPCM by one
     numpy step over all blocks of a batch at a time; the samples are resampled from ``rate`` to ``to`` by a polyphase filter.
 
-    A null payload, or another codec, gives null sample rate, number and pcm; an empty one gives no samples. A row doesn't depend on any
+    A null payload, or another codec, gives null sample rate, number and pcm; an empty one gives no samples. An id that isn't an integer counts as null. A row doesn't depend on any
     other, so equal rows give equal rows; nothing is shuffled. An empty table gives no rows. Other columns aren't read.
     """
-    rows = calls.select(col(id_col).cast("long").alias("doc_id"), codec.alias("codec"), payload.alias("payload"))
+    rows = calls.select(int_id(id_col).alias("doc_id"), codec.alias("codec"), payload.alias("payload"))
     return rows.mapInArrow(lambda b: _pcm(b, rate, to), _SCHEMA)
 
 
 def as_calls(id_col: str = "doc_id") -> Column:
     """A codec for each document, where documents' bytes stand for calls: by turns of the id; a null id counts as 0."""
-    turn = F.pmod(F.coalesce(col(id_col).cast("long"), F.lit(0)), F.lit(len(CODECS))).cast("int")
+    turn = F.pmod(F.coalesce(int_id(id_col), F.lit(0)), F.lit(len(CODECS))).cast("int")
     return F.element_at(F.array(*map(F.lit, CODECS)), turn + 1)

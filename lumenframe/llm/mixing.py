@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ._common import col, free, keyed, materialize, n_tokens, running_sum
 
+#: Target weights of the sources that the query and the pipeline mix to; other sources have WEIGHT.
+TARGETS = {"src0": 4.0, "src1": 3.0, "src2": 2.0, "src3": 0.5}
 #: Share of all tokens that is kept where no budget is given; seed of the shuffle; weight of a source that ``weights`` doesn't name.
 BUDGET_SHARE, SEED, WEIGHT = 0.8, 17, 1.0
 
@@ -49,7 +51,7 @@ def mix_plan(
     its own with the default weight. Ties go by MD5, id and tokens; of rows equal in these, any. Rows with one id are shuffled as one.
     """
     rows = docs.select(col(id_col).alias("doc_id"), col(source_col).alias("source"), n_tokens(text_col).alias("n_tokens"))
-    return _queue(rows, weights, budget)
+    return _queue(materialize(rows, "tokens"), weights, budget)
 
 
 def mix(
@@ -59,7 +61,7 @@ def mix(
     key, rank = free(docs, "key", "rank")
     own = keyed(docs, key)
     rows = own.select(F.col(key), col(id_col).alias("doc_id"), col(source_col).alias("source"), n_tokens(text_col).alias("n_tokens"))
-    plan = _queue(rows, weights, budget).select(key, F.struct("finish_time", "end_token").alias(rank))
+    plan = _queue(materialize(rows, "tokens"), weights, budget).select(key, F.struct("finish_time", "end_token").alias(rank))
     return own.join(plan.hint("shuffle_hash"), key).orderBy(rank).drop(key, rank)
 
 
@@ -67,7 +69,8 @@ ORACLE_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS n_tokens, md5('17:' || doc_id) AS h FROM documents
 ), v AS (
-  SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS finish_time FROM d
+  SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS DOUBLE)
+    / CAST(CASE source WHEN 'src0' THEN 4.0 WHEN 'src1' THEN 3.0 WHEN 'src2' THEN 2.0 WHEN 'src3' THEN 0.5 ELSE 1.0 END AS DOUBLE) AS finish_time FROM d
 ), q AS (
   SELECT *, CAST(sum(n_tokens) OVER (ORDER BY finish_time, h, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_token FROM v
 )

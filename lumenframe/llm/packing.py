@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import col, free, n_tokens
+from ._common import col, free, int_id, materialize, n_tokens
 
 #: Window lengths in tokens; tokens of a step group; tokens that one task packs.
 TIERS, STEP_TOKENS, SHARD_TOKENS = (512, 2048, 8192), 65536, 2_000_000
@@ -83,11 +83,11 @@ def pack_windows(
     the groups hold nearly equal numbers of real tokens; ``step`` is numbered in shard and tier.
 
     Tokens are counted over whole texts. Null, empty and blank texts have no tokens and no row. Ties are packed in order of id (null
-    last) and start. Rows with one id are packed each for itself. An empty table gives no rows. Other columns aren't read.
+    last) and start. Rows with one id are packed each for itself, and an id that isn't an integer counts as null. An empty table gives no rows. Other columns aren't read.
     """
     top, ids = max(tiers), id_col
     tokens, start, shard = free(docs, "tokens", "start", "shard")
-    rows = docs.select(col(ids).cast("long").alias("doc_id"), n_tokens(text_col).alias(tokens)).filter(F.col(tokens) > 0)
+    rows = materialize(docs.select(int_id(ids).alias("doc_id"), n_tokens(text_col).alias(tokens)), "tokens").filter(F.col(tokens) > 0)
     pieces = rows.select("doc_id", tokens, F.explode(F.sequence(F.lit(0).cast("long"), F.col(tokens) - 1, F.lit(top).cast("long"))).alias(start))
     pieces = pieces.select("doc_id", F.col(start).alias("start_token"), F.least(F.col(tokens) - F.col(start), F.lit(top)).cast("long").alias("n_tokens"))
     total = rows.agg(F.sum(tokens)).first()[0] or 0

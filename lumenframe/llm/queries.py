@@ -27,7 +27,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_plan(_docs(spark, sf_dir))
+    return mixing.mix_plan(_docs(spark, sf_dir), mixing.TARGETS)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

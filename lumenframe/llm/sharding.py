@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import col, free, keyed, materialize, running_sum
+from ._common import col, discard, free, keyed, materialize, running_sum
 
 #: Shards; share by which a shard may exceed its even size; rounds of moves, at most; characters of the shortest line that links documents.
 SHARDS, SLACK, ROUNDS, MIN_CHARS = 16, 0.05, 64, 30
-#: Moves end when the cut hasn't fallen for so many rounds.
-PATIENCE = 4
+#: Moves end when the cut hasn't fallen for so many rounds; movers between two shards that one task ranks, about.
+PATIENCE, RANKED = 4, 1 << 17
 
 
 def line_links(docs: DataFrame, key: str, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -51,7 +51,8 @@ def propagate(nodes: DataFrame, links: DataFrame, key: str, shards: int, slack:
     Each names the shard that holds most of its neighbours' weight. Of those that would gain, a quota moves from shard i to shard j, greatest
     gains first: as many as would go from j to i, and a part of the room that j has below its capacity of (1 + slack) times the even
     size (see ``_quotas``). So no shard ever passes its capacity. Rounds end when no link is cut, when the cut hasn't fallen for PATIENCE
-    rounds, or after ``rounds``; the round of the least cut is the result.
+    rounds, or after ``rounds``; the round of the least cut is the result. Where many would move from i to j, they are parted by hash into about
+    RANKED each, with even parts of the quota, so that no task ranks them all.
     """
     total = nodes.count()
     capacity = max(-(-total // shards), int((1 + slack) * total / shards))
@@ -72,6 +73,8 @@ def propagate(nodes: DataFrame, links: DataFrame, key: str, shards: int, slack:
         found = best.groupBy("i", "j").agg(F.count(F.when(may, 1)).alias("n"), F.sum("away").alias("away")).collect()
         now = sum(r["away"] for r in found)
         if least is None or now < least:
+            if kept is not moving:
+                discard(kept)
             least, kept, since = now, moving, 0
         else:
             since += 1
@@ -80,13 +83,21 @@ def propagate(nodes: DataFrame, links: DataFrame, key: str, shards: int, slack:
         quotas = _quotas({(r["i"], r["j"]): r["n"] for r in found if r["n"]}, sizes, capacity, turn)
         if not quotas:
             continue
-        first = Window.partitionBy("i", "j").orderBy(F.desc("gain"), F.xxhash64(F.lit(turn), F.col(key)), key)
-        allowed = best.sparkSession.createDataFrame(quotas, "i int, j int, quota long")
-        moves = best.filter(may).join(F.broadcast(allowed), ["i", "j"]).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= F.col("quota"))
+        asked = {(r["i"], r["j"]): r["n"] for r in found}
+        allowed = best.sparkSession.createDataFrame([(i, j, q, -(-asked[i, j] // RANKED)) for i, j, q in quotas], "i int, j int, quota long, parts long")
+        moves = best.filter(may).join(F.broadcast(allowed), ["i", "j"])  # a row for each pair of shards
+        moves = moves.withColumn("part", F.pmod(F.xxhash64(F.lit(31), F.lit(turn), F.col(key)), F.col("parts")))
+        first = Window.partitionBy("i", "j", "part").orderBy(F.desc("gain"), F.xxhash64(F.lit(turn), F.col(key)), key)
+        own = F.floor(F.col("quota") / F.col("parts")) + F.when(F.col("part") < F.col("quota") % F.col("parts"), 1).otherwise(0)
+        moves = moves.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= own)
         moving = moving.join(moves.select(key, "j").hint("shuffle_hash"), key, "left").select(key, F.coalesce("j", "shard").alias("shard"))
-        moving = materialize(moving, "linked")
+        before, moving = moving, materialize(moving, "linked")
+        if max(asked.values()) > RANKED:  # a part may hold fewer than its quota
+            gone = moves.groupBy("i", "j").count().collect()
+            quotas = [(r["i"], r["j"], r["count"]) for r in gone]
         for i, j, q in quotas:
             sizes[i], sizes[j] = sizes.get(i, 0) - q, sizes.get(j, 0) + q
+        discard(best, *([before] if before is not kept else []))
     moving = kept
     return nodes.join(moving.withColumnRenamed("shard", "moved").hint("shuffle_hash"), key, "left").select(key, F.coalesce("moved", "shard").alias("shard"))
 

@@ -12,31 +12,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _tokens
-from ._common import col
+from ._common import col, discard, int_id, materialize
 
 #: The bounded sample: labelled documents of each class that serve as examples, at most.
-EXAMPLES = 1500
-#: A term is in the vocabulary if so many examples have it and its chi-squared with their classes is so high.
-MIN_DF, MIN_CHI = 4, 45.0
-#: A word counts as itself and by its first bytes, so that forms of a rare word count together.
-STEM = 6
-#: Nearest examples that vote; examples in a block of the index; score from which a document is called toxic.
-NEIGHBOURS, BLOCK, TOXIC = 24, 16, 0.5
+EXAMPLES = 2500
+#: A word is a term if this share of the examples has it, and two of them at least.
+MIN_SHARE = 1 / 150
+#: Nearest examples that vote: this share of the examples, and NEIGHBOURS_LEAST at least.
+NEIGHBOUR_SHARE, NEIGHBOURS_LEAST = 1 / 30, 8
+#: Examples in a block of the index; voters that are named as evidence; score from which a document is called toxic.
+BLOCK, EVIDENCE, TOXIC = 16, 10, 0.5
 
 _SCHEMA = "doc_id long, score double, toxic boolean, vote double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>"
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts (lower case) and of their stems, and where each text's begin, with the end."""
-    data, at = _tokens.raw(pc.utf8_lower(texts))
-    starts, ends, offsets = _tokens.spans(data, at, _tokens.WORD_BYTES)
-    stems = _tokens.mix(_tokens.hashes(data, starts, np.minimum(ends, starts + STEM)) ^ np.uint64(STEM))
-    return np.stack([_tokens.hashes(data, starts, ends), stems], axis=1).ravel(), 2 * offsets
-
-
 def _counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word, count) of the distinct words of each text, by text and word."""
-    word, at = _words(texts)
+    """(text, word, count) of the distinct words of each text (lower case), by text and word."""
+    word, at = _tokens.words(texts)
     doc = np.repeat(np.arange(len(texts)), np.diff(at))
     order = np.lexsort((word, doc))
     doc, word = doc[order], word[order]
@@ -48,7 +40,7 @@ def _counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _terms(texts: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, count) of the words that are in ``vocabulary``, by text and term."""
-    word, at = _words(texts)
+    word, at = _tokens.words(texts)
     if not len(vocabulary):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     term = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
@@ -58,9 +50,19 @@ def _terms(texts: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key // len(vocabulary), key % len(vocabulary), count
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All whole numbers from each start to before each end."""
+    n = end - start
+    past = np.cumsum(n)
+    return np.arange(past[-1] if len(n) else 0) + np.repeat(start - past + n, n)
+
+
 @dataclass
 class Index:
-    """Examples as unit TF-IDF vectors: each term's postings hold a weight for every example, in blocks whose greatest weight is known."""
+    """Examples as unit TF-IDF vectors in an inverted index: each term's postings (example, weight), in blocks of BLOCK examples whose greatest weight is known.
+
+    Examples whose heaviest terms agree stand together, so that blocks hold like texts and their maxima say something.
+    """
 
     vocabulary: np.ndarray
     idf: np.ndarray
@@ -69,62 +71,81 @@ class Index:
     example: np.ndarray
     term: np.ndarray
     weight: np.ndarray
+    k: int = NEIGHBOURS_LEAST
     votes: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def built(self) -> tuple[np.ndarray, np.ndarray]:
-        """Weights (term, block, place) and their block maxima (term, block); made where they are used, so only postings are sent."""
-        if not hasattr(self, "_built"):
-            blocks = max(1, -(-len(self.ids) // BLOCK))
-            dense = np.zeros((len(self.vocabulary), blocks * BLOCK), np.float32)
-            dense[self.term, self.example] = self.weight
-            dense = dense.reshape(len(self.vocabulary), blocks, BLOCK)
-            self._built = dense, dense.max(axis=2)
-        return self._built
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_built"}
+    def __post_init__(self) -> None:
+        self.weight = self.vectors(self.example, self.term, self.weight)
+        n = len(self.ids)
+        heaviest = np.full(n, -1, np.int64)
+        order = np.lexsort((-self.weight, self.example))
+        first = np.searchsorted(self.example[order], np.arange(n))
+        has = np.searchsorted(self.example[order], np.arange(n), "right") > first
+        heaviest[has] = self.term[order][first[has]]
+        place = np.empty(n, np.int64)
+        order = np.lexsort((self.ids, heaviest))
+        place[order] = np.arange(n)
+        self.ids, self.toxic, self.example = self.ids[order], self.toxic[order], place[self.example]
+        order = np.lexsort((self.example, self.term))
+        self.example, self.term, self.weight = self.example[order], self.term[order], self.weight[order]
+        block = self.example // BLOCK
+        new = np.ones(len(order), bool)
+        new[1:] = (self.term[1:] != self.term[:-1]) | (block[1:] != block[:-1])
+        start = np.flatnonzero(new)
+        self.blocks = max(1, -(-n // BLOCK))
+        self.entry_block, self.entry_start = block[start], np.append(start, len(order))
+        self.entry_most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.entries = np.searchsorted(self.term[start], np.arange(len(self.vocabulary) + 1))
 
     def vectors(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Unit weights of each text's terms: (1 + ln count) * idf."""
         w = (1 + np.log(count)) * self.idf[term]
         norm = np.sqrt(np.bincount(doc, w * w)) if len(doc) else np.zeros(1)
-        return (w / np.where(norm > 0, norm, 1)[doc]).astype(np.float32)
+        return w / np.where(norm > 0, norm, 1)[doc]
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, apart_from: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the ``k`` nearest with a cosine above 0, nearest first, ties by id.
 
-        Exact: a block's bound is the sum of the query's weights times the block's maxima; blocks are scored by falling bound until the next bound
-        is below the k-th cosine found.
+        Exact: a block's bound is the sum over the query's terms of weight times the block's maximum; blocks are scored by falling bound until the
+        next bound is below the k-th cosine found.
         """
         if not len(term) or not len(self.ids):
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        dense, most = self.built()
-        bound = weight @ most[term]
+            return np.zeros(0, np.int64), np.zeros(0)
+        lo, hi = self.entries[term], self.entries[term + 1]
+        entry, by = _ranges(lo, hi), np.repeat(weight, hi - lo)
+        block = self.entry_block[entry]
+        bound = np.bincount(block, by * self.entry_most[entry], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        found, cosine, at, step = np.zeros(0, np.int64), np.zeros(0, np.float32), 0, max(1, k // BLOCK + 1)
+        order = order[bound[order] > 0]
+        found, cosine, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 2 * k // BLOCK + 1
         while at < len(order):
             take = order[at : at + step]
             if len(found) >= k:
-                take = take[bound[take] >= cosine[-1] - 1e-5]
+                take = take[bound[take] >= cosine[-1] - 1e-9]
                 if not len(take):
                     break
-            scored = np.einsum("t,tbp->bp", weight, dense[term[:, None], take]).ravel()
-            example = (take[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            ok = (scored > 0) & (example < len(self.ids))
+            asked = np.zeros(self.blocks, bool)
+            asked[take] = True
+            some = asked[block]
+            start, end = self.entry_start[entry[some]], self.entry_start[entry[some] + 1]
+            posting = _ranges(start, end)
+            scored = np.bincount(self.example[posting], np.repeat(by[some], end - start) * self.weight[posting], len(self.ids))
+            ok = scored > 0
             if apart_from is not None:
-                ok[ok] = self.ids[example[ok]] != apart_from
-            found, cosine = np.append(found, example[ok]), np.append(cosine, scored[ok])
+                ok &= self.ids != apart_from
+            example = np.flatnonzero(ok)
+            found, cosine = np.append(found, example), np.append(cosine, scored[example])
             best = np.lexsort((self.ids[found], -cosine))[:k]
             found, cosine = found[best], cosine[best]
             at, step = at + step, step * 2
         return found, cosine
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
-        """Share of the weight of toxic examples; an example at distance d = 1 - cosine weighs 1 / (d + 0.05)."""
+        """Share of the weight of toxic examples; an example at distance d = 1 - cosine weighs 1 / (d + 0.05) ** 3."""
         if not len(found):
             return 0.0
-        w = 1 / (1.05 - np.minimum(cosine.astype(np.float64), 1))
+        w = 1 / (1.05 - np.minimum(cosine, 1)) ** 3
         return float((w * self.toxic[found]).sum() / w.sum())
 
     def score(self, vote: float) -> float:
@@ -143,26 +164,21 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([b[1] / b[0] for b in blocks]), np.array([b[2] / b[0] for b in blocks])
 
 
-def _chi_squared(n: np.ndarray, with_toxic: np.ndarray, examples: int, toxic: int) -> np.ndarray:
-    """Of having a term and being toxic, for terms that ``n`` examples have, ``with_toxic`` of them toxic."""
-    share = toxic / max(1, examples)
-    spread = n * share * (1 - share) * (1 - n / max(1, examples))
-    return (with_toxic - n * share) ** 2 / np.where(spread > 0, spread, np.inf)
-
-
 def fit(
-    docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, min_df: int = MIN_DF, min_chi: float = MIN_CHI, id_col: str = "doc_id", text_col: str = "text",
-    label_id: str = "doc_id", label_col: str = "toxic", k: int = NEIGHBOURS,
+    docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, min_share: float = MIN_SHARE, k: int | None = None, id_col: str = "doc_id", text_col: str = "text",
+    label_id: str = "doc_id", label_col: str = "toxic",
 ) -> Index:
     """The index over a bounded sample of labelled documents, with document frequencies of its terms over all ``docs``.
 
-    Terms are words and stems that tell the examples' classes apart (``min_df``, ``min_chi``).
+    Terms are the words that ``min_share`` of the examples have (two at least); their weight is (1 + ln count) * ln((1 + documents) / (1 + documents that have it)) ** 2.
     Of either class the ``examples`` labelled ids that come first by hash are taken; a label that is neither 0 nor 1 counts as none, an id with
     both is toxic, and of rows with one id the least text is used. Scores are calibrated by isotonic regression of each
-    example's class on the vote of the others, weighted so that the classes have their shares among all labels. Without examples every score is 0.
+    example's class on the vote of the others, weighted so that the classes have their shares among all labels. ``k`` examples vote,
+    by default NEIGHBOUR_SHARE of them. Without examples every score is 0.
     """
-    named = labels.filter(col(label_col).isin(0, 1) & col(label_id).isNotNull()).groupBy(col(label_id).cast("long").alias("id")).agg(F.max(col(label_col)).cast("int").alias("toxic"))
-    held = named.join(docs.select(col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi").select("id", "toxic", F.xxhash64(F.lit(11), "id").alias("draw")).cache()
+    ids = int_id(id_col).alias("id")
+    named = labels.filter(col(label_col).isin(0, 1) & int_id(label_id).isNotNull()).groupBy(int_id(label_id).alias("id")).agg(F.max(col(label_col)).cast("int").alias("toxic"))
+    held = materialize(named.join(docs.select(ids).distinct(), "id", "left_semi").select("id", "toxic", F.xxhash64(F.lit(11), "id").alias("draw")), "labelled")
     totals = {r["toxic"]: r["count"] for r in held.groupBy("toxic").count().collect()}
     chosen = None
     for c in sorted(totals):
@@ -170,7 +186,7 @@ def fit(
         chosen = first if chosen is None else chosen.unionAll(first)
     rows = []
     if chosen is not None:
-        picked = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).join(F.broadcast(chosen.select("id", "toxic")), "id")
+        picked = docs.select(ids, col(text_col).alias("text")).join(F.broadcast(chosen.select("id", "toxic")), "id")  # 2 * examples rows at most
         picked = picked.groupBy("id", "toxic").agg(F.min("text").alias("text"))
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,13 +198,12 @@ def fit(
                     yield pa.RecordBatch.from_arrays([b["id"].slice(at, len(texts)), b["toxic"].slice(at, len(texts)), part(word), part(count.astype(np.int64))], ["id", "toxic", "word", "count"])
 
         rows = sorted(picked.mapInArrow(words, "id long, toxic int, word binary, count binary").collect(), key=lambda r: r["id"])
-    held.unpersist()
+    discard(held)
     word = np.concatenate([np.frombuffer(r["word"], np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
     count = np.concatenate([np.frombuffer(r["count"], np.int64) for r in rows] or [np.zeros(0, np.int64)])
     example = np.repeat(np.arange(len(rows)), [len(r["word"]) // 8 for r in rows] or 0)
-    vocabulary, place, n = np.unique(word, return_inverse=True, return_counts=True)
-    toxic = np.array([r["toxic"] for r in rows], np.int64)
-    vocabulary = vocabulary[(n >= min_df) & (_chi_squared(n, np.bincount(place, toxic[example], len(n)), len(rows), toxic.sum()) >= min_chi)]
+    vocabulary, n = np.unique(word, return_counts=True)
+    vocabulary = vocabulary[n >= max(2, min_share * len(rows))]
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,30 +221,35 @@ def fit(
             size = r["n"]
         else:
             df[r["term"]] = r["n"]
-    idf = np.log((1 + size) / (1 + df))
+    idf = np.log((1 + size) / (1 + df)) ** 2
     term = np.searchsorted(vocabulary, word)
     known = (term < len(vocabulary)) & (np.append(vocabulary, np.uint64(0))[np.minimum(term, len(vocabulary))] == word)
-    example, term, count = example[known], term[known], count[known]
-    index = Index(vocabulary, idf, np.array([r["id"] for r in rows], np.int64), toxic, example, term, np.zeros(0))
-    index.weight = index.vectors(example, term, count)
-    edge = np.searchsorted(example, np.arange(len(rows) + 1))
-    votes = np.array([index.vote(*index.nearest(term[i:j], index.weight[i:j], k, int(d))) for i, j, d in zip(edge, edge[1:], index.ids)])
+    if k is None:
+        k = max(NEIGHBOURS_LEAST, int(NEIGHBOUR_SHARE * len(rows)))
+    index = Index(vocabulary, idf, np.array([r["id"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], np.int64), example[known], term[known], count[known], k)
+    votes, n = np.zeros(len(rows)), len(rows)
+    order = np.lexsort((index.term, index.example))
+    edge = np.searchsorted(index.example[order], np.arange(n + 1))
+    for i, own in enumerate(index.ids):
+        part = order[edge[i] : edge[i + 1]]
+        votes[i] = index.vote(*index.nearest(index.term[part], index.weight[part], k, int(own)))
     share = np.array([totals.get(int(c), 0) / max(1, int((index.toxic == c).sum())) for c in index.toxic])
-    if len(votes):
+    if n:
         index.votes, index.scores = isotonic(votes, index.toxic.astype(float), share)
     return index
 
 
-def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS, toxic: float = TOXIC, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, index: Index, k: int | None = None, toxic: float = TOXIC, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``score`` (calibrated, 0 to 1), ``toxic`` (``score`` >= ``toxic``), ``vote``, ``evidence``.
 
-    A document's terms (words in lower case, runs of letters and digits, and their stems, over whole texts) are weighted by (1 + ln count) * idf and its ``k`` nearest
+    A document's terms (words in lower case, runs of letters and digits, over whole texts) are weighted by ``Index.vectors`` and its ``k`` nearest
     examples by cosine are found exactly (``Index.nearest``); a document is no example of its own. They vote by distance; the
-    calibration turns votes into scores. ``evidence`` names them, nearest first.
+    calibration turns votes into scores. ``evidence`` names the EVIDENCE nearest of them, nearest first. ``k`` is the index's own by default.
 
     Null and empty texts, and texts without a term of the vocabulary, have no evidence and vote 0. Ties go by id. Equal texts get equal
-    scores but for examples that are left out by id. A null id keeps its row. An empty table gives no rows. Other columns aren't read.
+    scores but for examples that are left out by id. A null id keeps its row, and one that isn't an integer counts as null. An empty table gives no rows. Other columns aren't read.
     """
+    k = k or index.k
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +264,12 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS, toxic: float = TOX
                 for i, own in enumerate(ids.to_pylist()):
                     found, cosine = at.nearest(term[edge[i] : edge[i + 1]], weight[edge[i] : edge[i + 1]], k, own)
                     votes[i] = at.vote(found, cosine)
-                    all_found.append(found)
-                    cosines.append(cosine)
+                    all_found.append(found[:EVIDENCE])
+                    cosines.append(cosine[:EVIDENCE])
                 scores = np.interp(votes, at.votes, at.scores) if len(at.votes) else np.zeros(len(votes))
                 offsets = np.append(0, np.cumsum([len(f) for f in all_found])).astype(np.int32)
                 found = np.concatenate(all_found)
                 items = pa.StructArray.from_arrays([pa.array(at.ids[found]), pa.array(at.toxic[found].astype(np.int32)), pa.array(np.concatenate(cosines).astype(float))], ["doc_id", "toxic", "cosine"])
                 yield pa.RecordBatch.from_arrays([ids, pa.array(scores), pa.array(scores >= toxic), pa.array(votes), pa.ListArray.from_arrays(offsets, items)], ["doc_id", "score", "toxic", "vote", "evidence"])
 
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, _SCHEMA)
+    return docs.select(int_id(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, _SCHEMA)
