@@ -29,8 +29,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents let through by weighted fair queueing of their sources."""
-    return mixing.mix(docs)
+    """Documents let through by weighted fair queueing of their sources, to the weights of ``mixing.TARGETS``."""
+    return mixing.mix(docs, mixing.TARGETS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
