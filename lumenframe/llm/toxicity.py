@@ -21,7 +21,12 @@ MIN_SHARE = 1 / 150
 #: Nearest examples that vote: this share of the examples, and NEIGHBOURS_LEAST at least.
 NEIGHBOUR_SHARE, NEIGHBOURS_LEAST = 1 / 30, 8
 #: Examples in a block of the index; voters that are named as evidence; score from which a document is called toxic.
-BLOCK, EVIDENCE, TOXIC = 16, 10, 0.5
+BLOCK, EVIDENCE, TOXIC = 64, 10, 0.5
+#: Share of the examples that have a frequent term, at least.
+FREQUENT = 1 / 20
+
+#: Stands for no id.
+_NO_ID = -(2**63)
 
 _SCHEMA = "doc_id long, score double, toxic boolean, vote double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>"
 
@@ -59,9 +64,10 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Examples as unit TF-IDF vectors in an inverted index: each term's postings (example, weight), in blocks of BLOCK examples whose greatest weight is known.
+    """Examples as unit TF-IDF vectors in an inverted index, cut into blocks of BLOCK examples.
 
-    Examples whose heaviest terms agree stand together, so that blocks hold like texts and their maxima say something.
+    Rare terms have lists of postings (example, weight). Terms that FREQUENT of the examples have, whose lists would hold most of all postings, have a weight
+    for every example, and the greatest weight of each block. Examples whose heaviest terms agree stand together, so that blocks hold like texts and maxima say something.
     """
 
     vocabulary: np.ndarray
@@ -88,15 +94,7 @@ class Index:
         place[order] = np.arange(n)
         self.ids, self.toxic, self.example = self.ids[order], self.toxic[order], place[self.example]
         order = np.lexsort((self.example, self.term))
-        self.example, self.term, self.weight = self.example[order], self.term[order], self.weight[order]
-        block = self.example // BLOCK
-        new = np.ones(len(order), bool)
-        new[1:] = (self.term[1:] != self.term[:-1]) | (block[1:] != block[:-1])
-        start = np.flatnonzero(new)
-        self.blocks = max(1, -(-n // BLOCK))
-        self.entry_block, self.entry_start = block[start], np.append(start, len(order))
-        self.entry_most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
-        self.entries = np.searchsorted(self.term[start], np.arange(len(self.vocabulary) + 1))
+        self.example, self.term, self.weight = self.example[order].astype(np.int32), self.term[order].astype(np.int32), self.weight[order]
 
     def vectors(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Unit weights of each text's terms: (1 + ln count) * idf."""
@@ -104,52 +102,76 @@ class Index:
         norm = np.sqrt(np.bincount(doc, w * w)) if len(doc) else np.zeros(1)
         return w / np.where(norm > 0, norm, 1)[doc]
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, apart_from: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the ``k`` nearest with a cosine above 0, nearest first, ties by id.
+    def built(self) -> tuple[np.ndarray, ...]:
+        """Each term's place among the frequent ones (or -1), their weights (place, example), their blocks' maxima, and each term's first posting.
 
-        Exact: a block's bound is the sum over the query's terms of weight times the block's maximum; blocks are scored by falling bound until the
-        next bound is below the k-th cosine found.
+        Made where it is used, so that only postings are sent.
+        """
+        if not hasattr(self, "_built"):
+            starts = np.searchsorted(self.term, np.arange(len(self.vocabulary) + 1))
+            often = np.flatnonzero(np.diff(starts) >= max(1, FREQUENT * len(self.ids)))
+            at = np.full(len(self.vocabulary), -1, np.int64)
+            at[often] = np.arange(len(often))
+            blocks = max(1, -(-len(self.ids) // BLOCK))
+            dense = np.zeros((len(often), blocks * BLOCK))
+            own = at[self.term] >= 0
+            dense[at[self.term[own]], self.example[own]] = self.weight[own]
+            self._built = at, dense, dense.reshape(len(often), blocks, BLOCK).max(axis=2, initial=0), starts
+        return self._built
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_built"}
+
+    def nearest(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, example, cosine) of the ``k`` nearest of each of ``n`` texts with a cosine above 0, nearest first, ties by id.
+
+        ``own`` has each text's id, whose example is left out. Exact: the postings of rare terms are added up; with the block maxima of
+        frequent terms they bound what a block's examples can reach. The blocks of highest bound are scored until ``k`` examples are, then
+        those whose bound isn't below the k-th cosine so far. Cosines are rounded to 9 places, so that equal texts tie.
         """
-        if not len(term) or not len(self.ids):
-            return np.zeros(0, np.int64), np.zeros(0)
-        lo, hi = self.entries[term], self.entries[term + 1]
-        entry, by = _ranges(lo, hi), np.repeat(weight, hi - lo)
-        block = self.entry_block[entry]
-        bound = np.bincount(block, by * self.entry_most[entry], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, cosine, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 2 * k // BLOCK + 1
-        while at < len(order):
-            take = order[at : at + step]
-            if len(found) >= k:
-                take = take[bound[take] >= cosine[-1] - 1e-9]
-                if not len(take):
-                    break
-            asked = np.zeros(self.blocks, bool)
-            asked[take] = True
-            some = asked[block]
-            start, end = self.entry_start[entry[some]], self.entry_start[entry[some] + 1]
-            posting = _ranges(start, end)
-            scored = np.bincount(self.example[posting], np.repeat(by[some], end - start) * self.weight[posting], len(self.ids))
-            ok = scored > 0
-            if apart_from is not None:
-                ok &= self.ids != apart_from
-            example = np.flatnonzero(ok)
-            found, cosine = np.append(found, example), np.append(cosine, scored[example])
-            best = np.lexsort((self.ids[found], -cosine))[:k]
-            found, cosine = found[best], cosine[best]
-            at, step = at + step, step * 2
-        return found, cosine
-
-    def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
-        """Share of the weight of toxic examples; an example at distance d = 1 - cosine weighs 1 / (d + 0.05) ** 3."""
-        if not len(found):
-            return 0.0
+        at, dense, most, starts = self.built()
+        size, blocks = len(self.ids), most.shape[1]
+        if not n or not size or not len(doc):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        often = at[term] >= 0
+        asked = np.zeros((n, len(dense)))
+        asked[doc[often], at[term[often]]] = weight[often]
+        rare = ~often
+        lo, hi = starts[term[rare]], starts[term[rare] + 1]
+        posting = _ranges(lo, hi)
+        cell = np.repeat(doc[rare] * (blocks * BLOCK), hi - lo) + self.example[posting]
+        score = np.bincount(cell, np.repeat(weight[rare], hi - lo) * self.weight[posting], n * blocks * BLOCK).reshape(n, blocks * BLOCK)
+        bound = score.reshape(n, blocks, BLOCK).max(axis=2) + asked @ most
+        rows, mine = np.nonzero(own[:, None] == self.ids[None, :])
+        done = np.zeros((n, blocks), bool)
+        need = np.zeros((n, blocks), bool)
+        first = min(blocks, 2 * k // BLOCK + 2)
+        np.put_along_axis(need, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+        for _ in range(2):
+            for b in np.flatnonzero(need.any(axis=0)):
+                texts = np.flatnonzero(need[:, b])
+                score[texts, b * BLOCK : (b + 1) * BLOCK] += asked[texts] @ dense[:, b * BLOCK : (b + 1) * BLOCK]
+            done |= need
+            known = np.where(np.repeat(done, BLOCK, axis=1), np.round(score, 9), -1.0)
+            known[:, size:] = -1
+            known[rows, mine] = -1
+            if k >= known.shape[1]:
+                least = np.zeros(n)
+            else:
+                least = np.partition(known, known.shape[1] - k, axis=1)[:, known.shape[1] - k]
+            need = ~done & (bound >= np.maximum(least, 0)[:, None] - 1e-8)
+        text, example = np.nonzero((known > 0) & (known >= least[:, None]))
+        cosine = known[text, example]
+        order = np.lexsort((self.ids[example], -cosine, text))
+        text, example, cosine = text[order], example[order], cosine[order]
+        keep = np.arange(len(text)) - np.searchsorted(text, text) < k
+        return text[keep], example[keep], cosine[keep]
+
+    def vote(self, text: np.ndarray, example: np.ndarray, cosine: np.ndarray, n: int) -> np.ndarray:
+        """For each text the share of the weight of toxic examples; an example at distance d = 1 - cosine weighs 1 / (d + 0.05) ** 3; 0 without any."""
         w = 1 / (1.05 - np.minimum(cosine, 1)) ** 3
-        return float((w * self.toxic[found]).sum() / w.sum())
-
-    def score(self, vote: float) -> float:
-        return float(np.interp(vote, self.votes, self.scores)) if len(self.votes) else 0.0
+        total = np.bincount(text, w, n)
+        return np.bincount(text, w * self.toxic[example], n) / np.where(total > 0, total, 1)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,12 +249,14 @@ def fit(
     if k is None:
         k = max(NEIGHBOURS_LEAST, int(NEIGHBOUR_SHARE * len(rows)))
     index = Index(vocabulary, idf, np.array([r["id"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], np.int64), example[known], term[known], count[known], k)
-    votes, n = np.zeros(len(rows)), len(rows)
+    n, step = len(rows), 256
+    votes = np.zeros(n)
     order = np.lexsort((index.term, index.example))
-    edge = np.searchsorted(index.example[order], np.arange(n + 1))
-    for i, own in enumerate(index.ids):
-        part = order[edge[i] : edge[i + 1]]
-        votes[i] = index.vote(*index.nearest(index.term[part], index.weight[part], k, int(own)))
+    for lo in range(0, n, step):
+        part = order[slice(*np.searchsorted(index.example[order], (lo, lo + step)))]
+        asked = index.example[part].astype(np.int64) - lo, index.term[part], index.weight[part]
+        count = min(step, n - lo)
+        votes[lo : lo + step] = index.vote(*index.nearest(*asked, count, k, index.ids[lo : lo + step]), count)
     share = np.array([totals.get(int(c), 0) / max(1, int((index.toxic == c).sum())) for c in index.toxic])
     if n:
         index.votes, index.scores = isotonic(votes, index.toxic.astype(float), share)
@@ -256,20 +280,17 @@ def score(docs: DataFrame, index: Index, k: int | None = None, toxic: float = TO
         at = shared.value
         for b in batches:
             for begin, texts in _tokens.slices(b["text"]):
+                n = len(texts)
+                ids = b["doc_id"].slice(begin, n)
+                numbers = pc.fill_null(ids, _NO_ID).to_numpy(zero_copy_only=False)
                 doc, term, count = _terms(texts, at.vocabulary)
-                weight = at.vectors(doc, term, count)
-                edge = np.searchsorted(doc, np.arange(len(texts) + 1))
-                ids = b["doc_id"].slice(begin, len(texts))
-                all_found, cosines, votes = [], [], np.zeros(len(texts))
-                for i, own in enumerate(ids.to_pylist()):
-                    found, cosine = at.nearest(term[edge[i] : edge[i + 1]], weight[edge[i] : edge[i + 1]], k, own)
-                    votes[i] = at.vote(found, cosine)
-                    all_found.append(found[:EVIDENCE])
-                    cosines.append(cosine[:EVIDENCE])
-                scores = np.interp(votes, at.votes, at.scores) if len(at.votes) else np.zeros(len(votes))
-                offsets = np.append(0, np.cumsum([len(f) for f in all_found])).astype(np.int32)
-                found = np.concatenate(all_found)
-                items = pa.StructArray.from_arrays([pa.array(at.ids[found]), pa.array(at.toxic[found].astype(np.int32)), pa.array(np.concatenate(cosines).astype(float))], ["doc_id", "toxic", "cosine"])
+                text, found, cosine = at.nearest(doc, term, at.vectors(doc, term, count), n, k, numbers)
+                votes = at.vote(text, found, cosine, n)
+                scores = np.interp(votes, at.votes, at.scores) if len(at.votes) else np.zeros(n)
+                named = np.arange(len(text)) - np.searchsorted(text, text) < EVIDENCE
+                text, found, cosine = text[named], found[named], cosine[named]
+                offsets = np.searchsorted(text, np.arange(n + 1)).astype(np.int32)
+                items = pa.StructArray.from_arrays([pa.array(at.ids[found]), pa.array(at.toxic[found].astype(np.int32)), pa.array(cosine)], ["doc_id", "toxic", "cosine"])
                 yield pa.RecordBatch.from_arrays([ids, pa.array(scores), pa.array(scores >= toxic), pa.array(votes), pa.ListArray.from_arrays(offsets, items)], ["doc_id", "score", "toxic", "vote", "evidence"])
 
     return docs.select(int_id(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, _SCHEMA)
