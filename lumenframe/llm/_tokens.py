@@ -39,9 +39,14 @@ def _powers(n: int) -> np.ndarray:
     return _POW
 
 
+def _large(texts: pa.Array) -> pa.Array:
+    """``texts`` with 64-bit offsets; binary columns stay binary, as they needn't be UTF-8."""
+    return texts.cast(pa.large_binary() if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else pa.large_string())
+
+
 def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, rows) with some ``limit`` bytes of text each, or one longer text."""
-    texts = texts.cast(pa.large_string())
+    texts = _large(texts)
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
@@ -53,7 +58,8 @@ def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, pa.Arra
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, and where each begins, with the end; null is as empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = _large(texts)
+    texts = pc.fill_null(texts, pa.scalar("" if pa.types.is_large_string(texts.type) else b"", texts.type))
     _, off, data = texts.buffers()
     at = np.frombuffer(off, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data and at[-1] > at[0] else np.zeros(0, np.uint8)

@@ -90,8 +90,8 @@ def propagate(nodes: DataFrame, links: DataFrame, key: str, shards: int, slack:
         first = Window.partitionBy("i", "j", "part").orderBy(F.desc("gain"), F.xxhash64(F.lit(turn), F.col(key)), key)
         own = F.floor(F.col("quota") / F.col("parts")) + F.when(F.col("part") < F.col("quota") % F.col("parts"), 1).otherwise(0)
         moves = moves.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= own)
-        moving = moving.join(moves.select(key, "j").hint("shuffle_hash"), key, "left").select(key, F.coalesce("j", "shard").alias("shard"))
-        before, moving = moving, materialize(moving, "linked")
+        moved = moving.join(moves.select(key, "j").hint("shuffle_hash"), key, "left").select(key, F.coalesce("j", "shard").alias("shard"))
+        before, moving = moving, materialize(moved, "linked")
         if max(asked.values()) > RANKED:  # a part may hold fewer than its quota
             gone = moves.groupBy("i", "j").count().collect()
             quotas = [(r["i"], r["j"], r["count"]) for r in gone]
