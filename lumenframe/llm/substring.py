@@ -3,32 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _tokens
-from ._common import col, free, keyed, materialize
+from ._common import col, discard, free, int_id, keyed, materialize
 
-#: Tokens of the shortest passage that is reported; a symbol of SPAN tokens or more is final; rounds of naming.
-MIN_TOKENS, SPAN, ROUNDS = 50, 8, 24
+#: Tokens of the shortest passage that is reported; a symbol of SPAN tokens or more is final.
+MIN_TOKENS, SPAN = 50, 8
 
 _ONE = np.uint64(1)
 _RUN, _LEFT, _RIGHT = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
-def recompress(word: np.ndarray, at: np.ndarray, span: int = SPAN, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def recompress(word: np.ndarray, at: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(name, first token, tokens, text) of the final symbols of all texts, given the hashes of their tokens.
 
     A round names runs of one symbol (in blocks that reach ``span`` tokens), then pairs of a left symbol and a right one; a symbol's side
     in a round is a bit of its hash. A name is a hash of what it stands for, so it is the same in every text and task without an
-    exchange, and what happens inside of a passage depends on the passage alone but for some symbols at its ends.
+    exchange, and what happens inside of a passage depends on the passage alone but for some symbols at its ends. Rounds end when no two
+    symbols that aren't final stand side by side.
     """
     sym, doc = word.copy(), np.repeat(np.arange(len(at) - 1), np.diff(at))
     size, start = np.ones(len(sym), np.int64), np.arange(len(sym))
-    for r in range(rounds):
+    for r in count():
         if len(sym) < 2:
             break
         beside = (doc[1:] == doc[:-1]) & (size[1:] < span) & (size[:-1] < span)
@@ -38,9 +40,9 @@ def recompress(word: np.ndarray, at: np.ndarray, span: int = SPAN, rounds: int =
             run = np.flatnonzero(new)
             place = np.arange(len(sym)) - np.repeat(run, np.diff(np.append(run, len(sym))))
             first = np.flatnonzero(new | (place % -(-span // size) == 0))
-            count = np.diff(np.append(first, len(sym)))
-            named = _tokens.mix(sym[first] * _RUN + count.astype(np.uint64))
-            sym, doc, start, size = np.where(count > 1, named, sym[first]), doc[first], start[first], size[first] * count
+            times = np.diff(np.append(first, len(sym)))
+            named = _tokens.mix(sym[first] * _RUN + times.astype(np.uint64))
+            sym, doc, start, size = np.where(times > 1, named, sym[first]), doc[first], start[first], size[first] * times
             beside = (doc[1:] == doc[:-1]) & (size[1:] < span) & (size[:-1] < span)
         if not beside.any():
             break
@@ -62,8 +64,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name, start, size, doc = recompress(*_tokens.words(texts, _tokens.TOKEN_BYTES, lower=False))
             own = pa.array(doc + begin)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(name.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), *(batch[c].take(own) for c in ("f", "r", "doc_id"))],
-                ["name", "start", "size", "f", "r", "doc_id"],
+                [pa.array(name.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), *(batch[c].take(own) for c in ("f", "r"))],
+                ["name", "start", "size", "f", "r"],
             )
 
 
@@ -145,6 +147,11 @@ def _compare(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(start), pa.array(length, pa.int64()), rows["source_doc_id"], pa.array(start - shift)], names)
 
 
+def _again(rows: DataFrame) -> DataFrame:
+    """(name), written: the names that occur twice or more; counted before any shuffle, so that a hot name isn't one task's."""
+    return materialize(rows.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"), "names")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
     """Later copies of passages of ``min_tokens`` tokens or more, one row each: ``doc_id``, ``start_token``, ``n_tokens``, ``source_doc_id``,
     ``source_start_token``; a source may be the document itself, at an earlier token, even overlapping.
@@ -157,21 +164,26 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     cut once however many copies point to them. A repeat is missed only if no final symbol inside of it is shared.
 
     Tokens are what white space (blank, tab, line feed, carriage return) parts. They are compared as 32-bit hashes, in runs of
-    ``min_tokens`` or more. Null and empty texts have none. Equal rows are copies of each other; an empty table gives no rows. Other
+    ``min_tokens`` or more. Null and empty texts have none. An id that isn't an integer counts as null. Equal rows are copies of each other; an empty table gives no rows. Other
     columns aren't read.
     """
     (key,) = free(docs, "key")
     own = keyed(docs, key)
-    own = own.select(F.col(f"{key}.f").alias("f"), F.col(f"{key}.r").alias("r"), col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    anchors = own.mapInArrow(_anchors, "name long, start int, size int, f long, r long, doc_id long")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "f", "r", "start")
-    shared = anchors.withColumn("n", F.count("*").over(Window.partitionBy("name"))).filter("n > 1").groupBy("f", "r").agg(F.collect_list(F.struct("start", "size")).alias("asked"))
+    own = own.select(F.col(f"{key}.f").alias("f"), F.col(f"{key}.r").alias("r"), int_id(id_col).alias("doc_id"), col(text_col).alias("text"))
+    anchors = materialize(own.select("f", "r", "text").mapInArrow(_anchors, "name long, start int, size int, f long, r long"), "anchors")
+    shared = anchors.join(_again(anchors).hint("shuffle_hash"), "name").groupBy("f", "r").agg(F.collect_list(F.struct("start", "size")).alias("asked"))
     windows = own.join(shared.hint("shuffle_hash"), ["f", "r"]).select("text", "asked", "f", "r", "doc_id")
-    windows = windows.mapInArrow(lambda b: _windows(b, min_tokens), "name long, start int, f long, r long, doc_id long")
-    pairs = windows.withColumn("s", F.min(place).over(Window.partitionBy("name"))).filter(F.col("s") != place)
+    windows = materialize(windows.mapInArrow(lambda b: _windows(b, min_tokens), "name long, start int, f long, r long, doc_id long"), "windows")
+    discard(anchors)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "f", "r", "start")
+    repeated = materialize(windows.join(_again(windows).hint("shuffle_hash"), "name"), "repeated")
+    discard(windows)
+    first = materialize(repeated.groupBy("name").agg(F.min(place).alias("s")), "first")
+    pairs = repeated.join(first.hint("shuffle_hash"), "name").filter(F.col("s") != place)
     pairs = pairs.groupBy("f", "r", "doc_id", F.col("s.f").alias("sf"), F.col("s.r").alias("sr"), F.col("s.doc_id").alias("source_doc_id"), (F.col("start") - F.col("s.start")).alias("shift"))
     pairs = pairs.agg((F.min("start") - min_tokens).alias("lo"), (F.max("start") + 2 * min_tokens).alias("hi"))
     pairs = materialize(pairs.withColumn("source_lo", F.col("lo") - F.col("shift")).withColumn("source_hi", F.col("hi") - F.col("shift")), "pairs")
+    discard(repeated, first)
     asked = pairs.select("f", "r", F.struct(F.lit(1).alias("role"), "sf", "sr", "source_lo", "source_hi", "lo", "hi", "doc_id", "source_doc_id").alias("x"))
     none = F.lit(None).cast("long")
     sources = pairs.select("sf", "sr", "source_lo", "source_hi").distinct()
