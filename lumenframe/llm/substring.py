@@ -7,16 +7,18 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _tokens
-from ._common import col, discard, free, int_id, keyed, materialize
+from ._common import col, discard, free, int_id, keyed, materialize, running_sum
 
 #: Tokens of the shortest passage that is reported; a symbol of SPAN tokens or more is final.
 MIN_TOKENS, SPAN = 50, 8
+#: Bits of a token's number in a place, which is the document's rank by id and that number; rows that are passed on at a time.
+PLACE_BITS, _ROWS = 27, 1 << 16
 
-_ONE = np.uint64(1)
+_ONE, _CHECK = np.uint64(1), np.uint64(0x2545F4914F6CDD1D)
 _RUN, _LEFT, _RIGHT = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -80,10 +82,12 @@ def window_names(word: np.ndarray, n: int) -> np.ndarray:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """The windows of ``n`` tokens around (or, if shorter, in) the asked symbols of each text."""
+    """(name, check, place) of the windows of ``n`` tokens around (or, if shorter, in) the asked symbols of each text."""
     for batch in batches:
         for begin, texts in _tokens.slices(batch["text"]):
             word, at = _tokens.words(texts, _tokens.TOKEN_BYTES, lower=False)
+            if (np.diff(at) > 1 << PLACE_BITS).any():
+                raise ValueError(f"a text of more than {1 << PLACE_BITS} tokens")
             asked = batch["asked"].slice(begin, len(texts))
             doc = np.repeat(np.arange(len(texts)), np.diff(asked.offsets.to_numpy()))
             start, size = (asked.flatten().field(c).to_numpy().astype(np.int64) for c in ("start", "size"))
@@ -95,61 +99,17 @@ def _windows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
             np.add.at(edge, hi[some] + 1, -1)
             i = np.flatnonzero(np.cumsum(edge)[:-1])
             own = np.searchsorted(at, i, "right") - 1
-            row = pa.array(own + begin)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(window_names(word, n)[i].view(np.int64)), pa.array((i - at[own]).astype(np.int32)), *(batch[c].take(row) for c in ("f", "r", "doc_id"))],
-                ["name", "start", "f", "r", "doc_id"],
-            )
+            place = (batch["d"].slice(begin, len(texts)).to_numpy()[own] << PLACE_BITS) + (i - at[own])
+            name = window_names(word, n)[i].view(np.int64)
+            check = (window_names(_tokens.mix(word ^ _CHECK), n)[i] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            for lo in range(0, len(i), _ROWS):  # few rows at a time, however long the text
+                hi = lo + _ROWS
+                yield pa.RecordBatch.from_arrays([pa.array(name[lo:hi]), pa.array(check[lo:hi]), pa.array(place[lo:hi])], ["name", "check", "place"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The asked tokens, as 32-bit hashes, of each text."""
-    for batch in batches:
-        for begin, texts in _tokens.slices(batch["text"]):
-            word, at = _tokens.words(texts, _tokens.TOKEN_BYTES, lower=False)
-            short = (word >> np.uint64(32)).astype(np.uint32)
-            asked = batch["asked"].slice(begin, len(texts))
-            count = np.diff(asked.offsets.to_numpy())
-            flat = asked.flatten()
-            doc = np.repeat(np.arange(len(texts)), count)
-            lo = np.maximum(flat.field("lo").to_numpy(), 0) + at[doc]
-            hi = np.minimum(flat.field("hi").to_numpy() + at[doc], at[doc + 1])
-            tokens = pa.array([short[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary())
-            names = [f.name for f in flat.type]
-            yield pa.RecordBatch.from_arrays([*flat.flatten(), tokens], [*names, "tokens"])
-
-
-def _compare(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Runs of ``least`` equal tokens or more, of each slice against the source slice that comes before it in the order of rows."""
-    names = ["doc_id", "start_token", "n_tokens", "source_doc_id", "source_start_token"]
-    source, source_lo = np.zeros(0, np.uint32), 0
-    for batch in batches:
-        roles, los, tokens = batch["role"].to_numpy(), batch["lo"].to_numpy(), batch["tokens"]
-        at, shift, start, length = [], [], [], []
-        for i in range(len(batch)):
-            here = np.frombuffer(tokens[i].as_buffer(), np.uint32)
-            lo = max(int(los[i]), 0)
-            if not roles[i]:
-                source, source_lo = here, lo
-                continue
-            d = (lo - int(los[i])) - (source_lo - int(batch["source_lo"][i].as_py()))  # tokens that this slice lacks before the source's first
-            a, b, first = (here, source[d:], lo) if d >= 0 else (here[-d:], source, lo - d)
-            n = min(len(a), len(b))
-            edge = np.flatnonzero(np.diff(np.concatenate(([False], a[:n] == b[:n], [False])).astype(np.int8)))
-            for x, y in edge.reshape(-1, 2):
-                if y - x >= least:
-                    at.append(i)
-                    start.append(first + x)
-                    length.append(y - x)
-                    shift.append(int(los[i]) - int(batch["source_lo"][i].as_py()))
-        start, shift = np.array(start, np.int64), np.array(shift, np.int64)
-        rows = batch.take(pa.array(at, pa.int64()))
-        yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(start), pa.array(length, pa.int64()), rows["source_doc_id"], pa.array(start - shift)], names)
-
-
-def _again(rows: DataFrame) -> DataFrame:
-    """(name), written: the names that occur twice or more; counted before any shuffle, so that a hot name isn't one task's."""
-    return materialize(rows.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"), "names")
+def _again(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` that occur twice or more with their least ``place``, written; counted before any shuffle, so that a hot key isn't one task's."""
+    return materialize(rows.groupBy(*keys).agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "names")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -157,43 +117,37 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``source_start_token``; a source may be the document itself, at an earlier token, even overlapping.
 
     Every text is recompressed (see ``recompress``) until its symbols stand for SPAN tokens or more. Final symbols are grouped by name
-    over the whole corpus, and around those that occur again every window of ``min_tokens`` tokens is named. Each window but the first of its name (by id,
-    null last, then row and token) points to the first, so it doesn't matter which symbols occur earlier in other surroundings. Pointers
-    of one document to one source at one distance become one candidate, and the tokens of both, with ``min_tokens`` more at
-    either side, are compared: the equal runs that are long enough are the result, so nothing unequal is reported. Source slices are
-    cut once however many copies point to them. A repeat is missed only if no final symbol inside of it is shared.
-
-    Tokens are what white space (blank, tab, line feed, carriage return) parts. They are compared as 32-bit hashes, in runs of
-    ``min_tokens`` or more. Null and empty texts have none. An id that isn't an integer counts as null. Equal rows are copies of each other; an empty table gives no rows. Other
-    columns aren't read.
+    over the whole corpus, and around those that occur again every window of ``min_tokens`` tokens is named, by 96 bits. Each window but the first
+    of its name (by id, null last, then row and token) is a copy of the first, so it doesn't matter which symbols occur earlier in other
+    surroundings. Windows side by side whose firsts are side by side make one passage. Where a long copy's windows occur first in
+    different documents it is several passages, which overlap. A repeat is missed only if no final symbol inside of it is shared.
+
+    Names are counted by partial aggregates and joined; no task holds all rows of a name. Tokens are what white space (blank, tab, line
+    feed, carriage return) parts. Null and empty texts have none. An id that isn't an integer counts as null. A text of more than 2 ** PLACE_BITS
+    tokens is an error. Equal rows are copies of each other; an empty table gives no rows. Other columns aren't read.
     """
     (key,) = free(docs, "key")
     own = keyed(docs, key)
     own = own.select(F.col(f"{key}.f").alias("f"), F.col(f"{key}.r").alias("r"), int_id(id_col).alias("doc_id"), col(text_col).alias("text"))
+    ids = own.select("f", "r", "doc_id", F.col("doc_id").isNull().alias("none"), F.lit(1).cast("long").alias("one"))
+    ids = materialize(running_sum(ids, "d", "one", ["none", "doc_id", "f", "r"]).select("f", "r", "doc_id", "d"), "ids")
     anchors = materialize(own.select("f", "r", "text").mapInArrow(_anchors, "name long, start int, size int, f long, r long"), "anchors")
-    shared = anchors.join(_again(anchors).hint("shuffle_hash"), "name").groupBy("f", "r").agg(F.collect_list(F.struct("start", "size")).alias("asked"))
-    windows = own.join(shared.hint("shuffle_hash"), ["f", "r"]).select("text", "asked", "f", "r", "doc_id")
-    windows = materialize(windows.mapInArrow(lambda b: _windows(b, min_tokens), "name long, start int, f long, r long, doc_id long"), "windows")
+    names = _again(anchors.select("name", F.lit(0).alias("place")), "name").drop("first")
+    shared = anchors.join(names.hint("shuffle_hash"), "name").groupBy("f", "r").agg(F.collect_list(F.struct("start", "size")).alias("asked"))
+    shared = materialize(shared.join(ids.hint("shuffle_hash"), ["f", "r"]).select("f", "r", "d", "asked"), "asked")
     discard(anchors)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "f", "r", "start")
-    repeated = materialize(windows.join(_again(windows).hint("shuffle_hash"), "name"), "repeated")
-    discard(windows)
-    first = materialize(repeated.groupBy("name").agg(F.min(place).alias("s")), "first")
-    pairs = repeated.join(first.hint("shuffle_hash"), "name").filter(F.col("s") != place)
-    pairs = pairs.groupBy("f", "r", "doc_id", F.col("s.f").alias("sf"), F.col("s.r").alias("sr"), F.col("s.doc_id").alias("source_doc_id"), (F.col("start") - F.col("s.start")).alias("shift"))
-    pairs = pairs.agg((F.min("start") - min_tokens).alias("lo"), (F.max("start") + 2 * min_tokens).alias("hi"))
-    pairs = materialize(pairs.withColumn("source_lo", F.col("lo") - F.col("shift")).withColumn("source_hi", F.col("hi") - F.col("shift")), "pairs")
-    discard(repeated, first)
-    asked = pairs.select("f", "r", F.struct(F.lit(1).alias("role"), "sf", "sr", "source_lo", "source_hi", "lo", "hi", "doc_id", "source_doc_id").alias("x"))
-    none = F.lit(None).cast("long")
-    sources = pairs.select("sf", "sr", "source_lo", "source_hi").distinct()
-    sources = sources.select(
-        F.col("sf").alias("f"), F.col("sr").alias("r"),
-        F.struct(F.lit(0).alias("role"), "sf", "sr", "source_lo", "source_hi", F.col("source_lo").alias("lo"), F.col("source_hi").alias("hi"), none.alias("doc_id"), none.alias("source_doc_id")).alias("x"),
-    )
-    asked = asked.unionAll(sources).groupBy("f", "r").agg(F.collect_list("x").alias("asked"))
-    cut = own.select("f", "r", "text").join(asked.hint("shuffle_hash"), ["f", "r"]).select("text", "asked")
-    schema = "role int, sf long, sr long, source_lo int, source_hi int, lo int, hi int, doc_id long, source_doc_id long, tokens binary"
-    by = ["sf", "sr", "source_lo", "source_hi"]
-    cut = cut.mapInArrow(_cut, schema).repartition(*by).sortWithinPartitions(*by, "role")
-    return cut.mapInArrow(lambda b: _compare(b, min_tokens), "doc_id long, start_token long, n_tokens long, source_doc_id long, source_start_token long")
+    windows = own.select("f", "r", "text").join(shared.hint("shuffle_hash"), ["f", "r"]).select("text", "asked", "d")
+    windows = materialize(windows.mapInArrow(lambda b: _windows(b, min_tokens), "name long, check int, place long"), "windows")
+    firsts = _again(windows, "name", "check")
+    copies = windows.join(firsts.hint("shuffle_hash"), ["name", "check"]).filter("first < place").select("place", "first")
+    copies = copies.withColumn("d", F.shiftright("place", PLACE_BITS))
+    by = Window.partitionBy("d").orderBy("place")  # one document's windows
+    new = (F.lag("place").over(by) + 1 == F.col("place")) & (F.lag("first").over(by) + 1 == F.col("first"))
+    runs = copies.withColumn("new", F.when(new, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
+    runs = runs.groupBy("d", "run").agg(F.min("place").alias("place"), F.min("first").alias("first"), F.count("*").alias("n"))
+    runs = materialize(runs, "runs")
+    discard(windows, firsts)
+    token = lambda c: F.col(c).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    runs = runs.select("d", token("place").alias("start_token"), (F.col("n") + min_tokens - 1).alias("n_tokens"), F.shiftright("first", PLACE_BITS).alias("source"), token("first").alias("source_start_token"))
+    named = runs.join(ids.select("d", "doc_id").hint("shuffle_hash"), "d").join(ids.select(F.col("d").alias("source"), F.col("doc_id").alias("source_doc_id")).hint("shuffle_hash"), "source")
+    return named.select("doc_id", "start_token", "n_tokens", "source_doc_id", "source_start_token")
