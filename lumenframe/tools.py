@@ -1,4 +1,4 @@
-"""End-user operations: import, info, dump, export, download, mean patch and covariance."""
+"""End-user operations: import, merge, info, dump, export, download, mean patch and covariance, and what shows these."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .codecs import jpeg, matrix, netpbm, png
 from .functions.text import dump_line
-from .operators.aggregates import GRID, PATCH, SIGMA, covariance_rows, mean_patch
+from .operators.aggregates import GRID, PATCH, SIGMA, covariance_rows, mean_patch, principal_components
 from .schema import HEADER, RAW, valid
 from .sources import bundle, files
 
@@ -205,3 +205,32 @@ def covariance_files(images: DataFrame, out: str, n: int = PATCH, grid: int = GR
     for name, m in (("mean", mean.reshape(n, n).astype(np.float32)), ("covariance", found)):
         with open(os.path.join(out, name), "wb") as f:
             f.write(matrix.encode(m))
+
+
+def _shown(values: np.ndarray) -> np.ndarray:
+    """Gray pixels of three bands from numbers, the least black and the greatest white; equal numbers are black."""
+    low, high = float(values.min()), float(values.max())
+    gray = np.rint((values - low) * (255 / (high - low) if high > low else 0)).astype(np.uint8)
+    return np.repeat(gray[:, :, None], 3, axis=2)
+
+
+def show_mean(path: str, out: str) -> None:
+    """The mean patch in the matrix file ``path`` as a PNG."""
+    with open(path, "rb") as f, open(out, "wb") as g:
+        g.write(png.encode(_shown(matrix.decode(f.read()))))
+
+
+def show_components(path: str, out: str, k: int = 15, across: int = 5) -> None:
+    """The ``k`` principal components of the covariance in the matrix file ``path`` as one PNG, ``across`` patches a row, each in its own range."""
+    with open(path, "rb") as f:
+        cov = matrix.decode(f.read()).astype(np.float64)
+    side = int(round(len(cov) ** 0.5))
+    if side * side != len(cov):
+        raise ValueError(f"{path} is no covariance of square patches")
+    _, vectors = principal_components(cov, k)
+    sheet = np.zeros((-(-len(vectors) // across) * side, across * side, 3), np.uint8)
+    for i, v in enumerate(vectors):
+        y, x = i // across * side, i % across * side
+        sheet[y : y + side, x : x + side] = _shown(v.reshape(side, side))
+    with open(out, "wb") as f:
+        f.write(png.encode(sheet))

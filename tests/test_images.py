@@ -12,6 +12,7 @@ from lumenframe.functions import pixels as px
 from lumenframe.functions import text as tx
 from lumenframe.operators import aggregates as ag
 from lumenframe.operators import ordering
+from lumenframe.schema import STORAGE_FORMATS, enum_value, valid
 from lumenframe.sources import bundle, files
 
 RAMP = np.arange(18, dtype=np.uint8).reshape(2, 3, 3)
@@ -261,6 +262,16 @@ def test_downloads_matrices_and_pairs(spark, tmp_path):
     w = ag.gaussian(4, 1.0).ravel()
     want = sum(((ag.patches(g, 4, 2) - mean.ravel()) * w).T @ ((ag.patches(g, 4, 2) - mean.ravel()) * w) for g in gray)
     assert cov == pytest.approx(want, abs=1e-4)
+    tools.show_mean(str(tmp_path / "c" / "mean"), str(tmp_path / "mean.png"))
+    shown = png.decode((tmp_path / "mean.png").read_bytes())
+    assert shown.shape == (4, 4, 3) and shown.max() == 255 and shown.reshape(-1, 3).argmax(axis=0)[0] == mean.argmax()
+    tools.show_components(str(tmp_path / "c" / "covariance"), str(tmp_path / "c.png"), 7, 5)
+    sheet = png.decode((tmp_path / "c.png").read_bytes())
+    first = ag.principal_components(cov.astype(float), 1)[1][0]
+    assert sheet.shape == (8, 20, 3) and sheet[:4, :4, 0].argmax() == first.argmax() and not sheet[4:, 8:].any()
+    with pytest.raises(ValueError):
+        (tmp_path / "odd").write_bytes(matrix.encode(np.zeros((3, 3), np.float32)))
+        tools.show_components(str(tmp_path / "odd"), str(tmp_path / "x.png"))
 
 
 def test_shapes_must_agree(spark):
@@ -277,6 +288,48 @@ def test_shapes_must_agree(spark):
         df.select(px.bytes_to_array(F.lit(b"abc"), "int")).collect()
 
 
+def test_lists_names_and_small_functions(spark, tmp_path):
+    (tmp_path / "urls").write_text(" http://a/1.png \n\nhttp://a/2.jpg\n")
+    assert [r["url"] for r in files.url_list(spark, str(tmp_path / "urls")).collect()] == ["http://a/1.png", "http://a/2.jpg"]
+    for bad in ("/a/list", "list-x-1"):
+        with pytest.raises(ValueError):
+            files.images_named(bad)
+    one = spark.range(1).select(
+        px.from_byte(F.lit(51)).alias("f"), px.blank(F.lit(3)).alias("z"), enum_value(F.lit("PNG"), STORAGE_FORMATS).alias("e"), tx.byte_at(F.lit(b"\x01\xff"), F.lit(1)).alias("b"),
+        px.linear_to_srgb(px.srgb_to_linear(F.lit(200))).alias("s"), tx.suffix(F.lit("a.b/c.JPG")).alias("x"), tx.base_name(F.lit("a.b/c.JPG")).alias("n"),
+    ).first()
+    assert one["f"] == pytest.approx(0.2) and one["z"] == [0, 0, 0] and one["e"] == 2 and one["b"] == 255 and abs(one["s"] - 200) <= 1 and one["x"] == "jpg" and one["n"] == "c.JPG"
+    for wrong in (px.blank(F.lit(-1)), enum_value(F.lit("GIF"), STORAGE_FORMATS), px.type_size(F.lit(9))):
+        with pytest.raises(Exception):
+            spark.range(1).select(wrong).collect()
+    odd = spark.createDataFrame([(0, 4, 3, [1.0])], "width int, height int, bands int, p array<double>")
+    with pytest.raises(Exception, match="matrix"):
+        odd.select(px.to_matrix(F.col("p"), 4)).collect()
+    assert odd.filter(valid()).count() == 0
+
+
+def test_images_in_user_functions(spark):
+    """Rows to one value for each group, and a row to several, by Spark's own user functions."""
+    import pandas as pd
+
+    images = spark.createDataFrame([(i % 2, [float(i)] * 4) for i in range(6)], "storage_format int, pixels array<double>")
+
+    @F.pandas_udf("array<double>")
+    def mean_image(v: pd.Series) -> list:
+        return np.mean(np.stack(v.to_list()), axis=0).tolist()
+
+    assert sorted((r["storage_format"], r["m"]) for r in images.groupBy("storage_format").agg(mean_image("pixels").alias("m")).collect()) == [(0, [2.0] * 4), (1, [3.0] * 4)]
+
+    @F.udtf(returnType="pos: int, v: double")
+    class Pixels:
+        def eval(self, pixels):
+            yield from enumerate(pixels)
+
+    spark.udtf.register("pixels_of_row", Pixels)
+    images.createOrReplaceTempView("images_of_rows")
+    assert spark.sql("SELECT count(*) AS n, sum(v) AS s FROM images_of_rows, LATERAL pixels_of_row(pixels)").first() == (24, 60.0)
+
+
 def test_every_query_runs_and_agrees_with_its_sql(spark, sf_dir):
     import duckdb
 
