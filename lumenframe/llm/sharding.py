@@ -10,7 +10,7 @@ from ._common import col, discard, free, keyed, materialize, running_sum
 #: Shards; share by which a shard may exceed its even size; rounds of moves, at most; characters of the shortest line that links documents.
 SHARDS, SLACK, ROUNDS, MIN_CHARS = 16, 0.05, 64, 30
 #: Moves end when the cut hasn't fallen for so many rounds; movers between two shards that one task ranks, about.
-PATIENCE, RANKED = 4, 1 << 17
+PATIENCE, RANKED = 12, 1 << 17
 
 
 def line_links(docs: DataFrame, key: str, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -48,10 +48,11 @@ def propagate(nodes: DataFrame, links: DataFrame, key: str, shards: int, slack:
     """``nodes`` (``key``, ``shard``) after moves along ``links`` (a, b, w), each round written in the shared folder.
 
     In a round half of the linked nodes, by hash of round and key, may move, so that two that wish for each other's shard don't swap for ever.
-    Each names the shard that holds most of its neighbours' weight. Of those that would gain, a quota moves from shard i to shard j, greatest
+    Each names the other shard that holds most of its neighbours' weight. Of those that would gain, a quota moves from shard i to shard j, greatest
     gains first: as many as would go from j to i, and a part of the room that j has below its capacity of (1 + slack) times the even
-    size (see ``_quotas``). So no shard ever passes its capacity. Rounds end when no link is cut, when the cut hasn't fallen for PATIENCE
-    rounds, or after ``rounds``; the round of the least cut is the result. Where many would move from i to j, they are parted by hash into about
+    size (see ``_quotas``). So no shard ever passes its capacity. In every other round while the cut doesn't
+    fall, a quarter of those that wouldn't gain may move too, after those that would: full shards let nodes out, and their neighbours
+    can follow. Rounds end when no link is cut, when the cut hasn't fallen for PATIENCE rounds, or after ``rounds``; the round of the least cut is the result. Where many would move from i to j, they are parted by hash into about
     RANKED each, with even parts of the quota, so that no task ranks them all.
     """
     total = nodes.count()
@@ -65,12 +66,14 @@ def propagate(nodes: DataFrame, links: DataFrame, key: str, shards: int, slack:
     for turn in range(rounds + 1):
         near = both.join(moving.select(F.col(key).alias("to"), F.col("shard").alias("near")).hint("shuffle_hash"), "to").groupBy(key, "near").agg(F.sum("w").alias("w"))
         near = near.join(moving.hint("shuffle_hash"), key)
-        order = F.struct("w", F.col("near") == F.col("shard"), F.xxhash64(F.lit(turn), F.col(key), F.col("near")).alias("tie"), "near")
+        order = F.when(F.col("near") != F.col("shard"), F.struct("w", F.xxhash64(F.lit(turn), F.col(key), F.col("near")).alias("tie"), "near"))
         best = near.groupBy(key, "shard").agg(F.max(order).alias("best"), F.sum("w").alias("all"), F.sum(F.when(F.col("near") == F.col("shard"), F.col("w")).otherwise(0)).alias("own"))
         best = best.select(key, F.col("shard").alias("i"), F.col("best.near").alias("j"), (F.col("best.w") - F.col("own")).alias("gain"), (F.col("all") - F.col("own")).alias("away"))
         best = materialize(best.filter("away > 0"), "wishes")
-        may = (F.col("gain") > 0) & (F.pmod(F.xxhash64(F.lit(29), F.lit(turn), F.col(key)), F.lit(2)) == 0)
-        found = best.groupBy("i", "j").agg(F.count(F.when(may, 1)).alias("n"), F.sum("away").alias("away")).collect()
+        turns = F.pmod(F.xxhash64(F.lit(29), F.lit(turn), F.col(key)), F.lit(4))
+        gains = (F.col("gain") > 0) & (turns < 2)
+        loses = gains | (F.col("gain") <= 0) & (turns == 2)
+        found = best.groupBy("i", "j").agg(F.count(F.when(gains, 1)).alias("gains"), F.count(F.when(loses, 1)).alias("loses"), F.sum("away").alias("away")).collect()
         now = sum(r["away"] for r in found)
         if least is None or now < least:
             if kept is not moving:
@@ -79,11 +82,14 @@ def propagate(nodes: DataFrame, links: DataFrame, key: str, shards: int, slack:
         else:
             since += 1
         if not now or since >= PATIENCE or turn == rounds:
+            discard(best)
             break
-        quotas = _quotas({(r["i"], r["j"]): r["n"] for r in found if r["n"]}, sizes, capacity, turn)
+        may, named = (loses, "loses") if since % 2 else (gains, "gains")
+        asked = {(r["i"], r["j"]): r[named] for r in found if r[named]}
+        quotas = _quotas(asked, sizes, capacity, turn)
         if not quotas:
+            discard(best)
             continue
-        asked = {(r["i"], r["j"]): r["n"] for r in found}
         allowed = best.sparkSession.createDataFrame([(i, j, q, -(-asked[i, j] // RANKED)) for i, j, q in quotas], "i int, j int, quota long, parts long")
         moves = best.filter(may).join(F.broadcast(allowed), ["i", "j"])  # a row for each pair of shards
         moves = moves.withColumn("part", F.pmod(F.xxhash64(F.lit(31), F.lit(turn), F.col(key)), F.col("parts")))
