@@ -1,17 +1,22 @@
 """Codecs, the bundle source, tools, column functions and aggregates against hand-made values and numpy."""
 
 import struct
+import subprocess
+import sys
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lumenframe import tools
-from lumenframe.codecs import exif, jpeg, matrix, netpbm, png
+from lumenframe.codecs import exif, jpeg, matrix, netpbm, payloads, png
 from lumenframe.functions import pixels as px
 from lumenframe.functions import text as tx
 from lumenframe.operators import aggregates as ag
 from lumenframe.operators import ordering
+from lumenframe.plans import catalog
 from lumenframe.schema import STORAGE_FORMATS, enum_value, valid
 from lumenframe.sources import bundle, files
 
@@ -347,3 +352,34 @@ def test_every_query_runs_and_agrees_with_its_sql(spark, sf_dir):
             assert sorted(map(repr, map(tuple, rows.select(*columns).collect()))) == sorted(map(repr, want.fetchall())), name
         else:
             assert rows.count() > 0
+
+
+def test_decoding_holds_one_piece_and_no_pandas(monkeypatch):
+    data = [png.encode(photo(8, 8 + i)) for i in range(6)]
+    batch = [(pa.array([*data, b"x", None], pa.binary()), pa.array([2] * 8))]
+    monkeypatch.setattr(payloads, "PIECE", 2 * 8 * 8 * 3)
+    for f, size in ((files.decode_bytes, 1), (files.decode, 4)):
+        pieces = list(f.func(iter(batch)))
+        assert [len(p) for p in pieces] == ([2, 2, 2, 2] if size == 1 else [1] * 6 + [2])
+        sizes = [x and len(x) for p in pieces for x in p.to_pylist()]
+        assert sizes == [8 * (8 + i) * 3 for i in range(6)] + [None, None]
+    tracemalloc.start()
+    jpeg.decode(jpeg.encode(photo(8, 8)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4e6  # four tables of 65,536 places
+    code = "import sys; from lumenframe.codecs import payloads as p; import numpy as np; p.binary([b'a', None]); p.binary([]); p.floats([np.ones(2, np.float32), None]); assert 'pandas' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_columns_from_buffers():
+    for made in (payloads.binary([b"ab", None, b""]), payloads.binary([]), payloads.floats([np.ones(2, np.float32), None, np.zeros(0, np.float32)]), payloads.floats([])):
+        made.validate(full=True)
+    assert payloads.binary([b"ab", None, b""]).to_pylist() == [b"ab", None, b""]
+    assert payloads.floats([np.ones(2, np.float32), None]).to_pylist() == [[1.0, 1.0], None]
+
+
+@pytest.mark.parametrize("name", ["decode_jpeg", "decode_linear", "decode_lossless"])
+def test_a_task_has_two_python_workers(spark, sf_dir, name):
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 2
