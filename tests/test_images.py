@@ -368,18 +368,22 @@ def test_decoding_holds_one_piece_and_no_pandas(monkeypatch):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 4e6  # four tables of 65,536 places
-    code = "import sys; from lumenframe.codecs import payloads as p; import numpy as np; p.binary([b'a', None]); p.binary([]); p.floats([np.ones(2, np.float32), None]); assert 'pandas' not in sys.modules"
+    code = "import sys; from lumenframe.codecs import payloads as p; import numpy as np; p.binary([b'a', None]); p.binary([]); p.floats([np.ones(2, np.float32), None]); p.texts([{'a': 'b'}, {}]); assert 'pandas' not in sys.modules"
     subprocess.run([sys.executable, "-c", code], check=True)
 
 
 def test_columns_from_buffers():
-    for made in (payloads.binary([b"ab", None, b""]), payloads.binary([]), payloads.floats([np.ones(2, np.float32), None, np.zeros(0, np.float32)]), payloads.floats([])):
+    for made in (payloads.binary([b"ab", None, b""]), payloads.binary([]), payloads.floats([np.ones(2, np.float32), None, np.zeros(0, np.float32)]), payloads.floats([]), payloads.texts([{"a": "ü", "b": ""}, {}]), payloads.texts([])):
         made.validate(full=True)
     assert payloads.binary([b"ab", None, b""]).to_pylist() == [b"ab", None, b""]
     assert payloads.floats([np.ones(2, np.float32), None]).to_pylist() == [[1.0, 1.0], None]
+    assert payloads.texts([{"a": "ü", "b": ""}, {}]).to_pylist() == [[("a", "ü"), ("b", "")], []]
+    lists = pa.array([[9.0], [1.0, 2.0], [], [3.0]], pa.list_(pa.float64())).slice(1)
+    assert payloads.numbers(lists.values, np.float64).tolist() == [9, 1, 2, 3] and payloads.numbers(lists.offsets, np.int32).tolist() == [1, 3, 3, 4]
+    assert np.isnan(payloads.numbers(pa.array([1.0, None]), np.float64)).tolist() == [False, True] and not len(payloads.numbers(pa.array([], pa.int32()), np.int32))
 
 
-@pytest.mark.parametrize("name", ["decode_jpeg", "decode_linear", "decode_lossless"])
+@pytest.mark.parametrize("name", ["decode_jpeg", "decode_linear", "decode_lossless", "cull_model", "dump_models"])
 def test_a_task_has_two_python_workers(spark, sf_dir, name):
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("EvalPython") == 2
